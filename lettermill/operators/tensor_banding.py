@@ -1,0 +1,165 @@
+"""Near-duplicate pairs by tensored banding.
+
+Tables are not hashed one by one.  Two small collections of partial keys are computed, ``LEFT`` keys of one minhash and ``RIGHT``
+keys of two, and each of the ``LEFT * RIGHT`` tables is keyed by one partial key of either collection: 30 minhashes give 72 tables of
+three rows.  Two texts of similarity 0.5 meet in a table with a chance of about 0.95 (``(1-.5**6) * (1-.75**12)``), of 0.6 with
+0.99, and the chance grows to one from there.  Candidates pass two Hamming tests on one-bit minhash sketches (64 bits inside the table
+join, 128 more after it) and are then verified on the exact shingle sets.
+
+Texts with one and the same shingle set form a class and only the class enters the tables, so a text that makes up a third of all
+rows costs one row there.  Copies are expanded to pairs of ids at the very end.
+
+Defined results: a null subject or body is the empty text; texts under ``MIN_WORDS`` words are in no pair; rows repeated under one id
+count once; rows with a null id are dropped; a null group counts as a group of its own; an empty table gives no pairs; extra columns
+are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lettermill.session import cut, spread
+
+LEFT, RIGHT = 6, 12
+SHINGLE = 3
+MIN_WORDS = 40
+THRESHOLD = 0.5
+NEAR_64, NEAR_128 = 27, 49  # most differing sketch bits of a candidate: 3.2 standard deviations beyond what similarity 0.5 gives
+WORD = re.compile(r"[a-z0-9]+")
+_VOCAB_MAX = 1_000_000
+
+
+class WordHash(dict):
+    """word -> 64-bit hash, filled as words come; emptied by its user when it has grown too large."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingles(texts: list[str], words: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of the texts that are long enough, in one array; their offsets; which texts these are."""
+    flat: list[int] = []
+    sizes = []
+    keep = []
+    for i, t in enumerate(texts):
+        w = WORD.findall(t)
+        if len(w) >= max(MIN_WORDS, SHINGLE):
+            flat.extend(map(words.__getitem__, w))
+            sizes.append(len(w))
+            keep.append(i)
+    if len(words) > _VOCAB_MAX:
+        words.clear()
+    if not keep:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64)
+    h = np.array(flat, np.uint64)
+    doc = np.repeat(np.arange(len(keep)), sizes)
+    s = _mix(h[:-2] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
+    inside = doc[:-2] == doc[2:]
+    s, doc = s[inside], doc[:-2][inside]
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    first = np.ones(len(s), bool)
+    first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
+    s, doc = s[first], doc[first]
+    return s, np.searchsorted(doc, np.arange(len(keep) + 1)), np.array(keep)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rng = np.random.default_rng(20)
+    n_hash = LEFT + 2 * RIGHT + 64 + 128
+    mult = rng.integers(0, 1 << 31, n_hash, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, n_hash, dtype=np.uint32)
+    words = WordHash()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            s, off, keep = _shingles(part.column("text").to_pylist(), words)
+            if not len(keep):
+                continue
+            base = (s >> np.uint64(32)).astype(np.uint32)
+            low = np.empty((n_hash, len(keep)), np.uint32)
+            for k in range(n_hash):
+                low[k] = np.minimum.reduceat(base * mult[k] + add[k], off[:-1])
+            wide = low.astype(np.uint64)
+            left = _mix(wide[:LEFT] + np.arange(1, LEFT + 1, dtype=np.uint64)[:, None] * np.uint64(1 << 40))
+            r = wide[LEFT : LEFT + 2 * RIGHT]
+            right = _mix(_mix(r[:RIGHT]) + r[RIGHT:] + np.arange(1, RIGHT + 1, dtype=np.uint64)[:, None] * np.uint64(1 << 40))
+            bits = ((low[LEFT + 2 * RIGHT :] >> np.uint32(12)) & np.uint32(1)).astype(np.uint8)
+            sketch = np.ascontiguousarray(np.packbits(bits.T, axis=1)).view(np.int64)
+            cls = np.add.reduceat(_mix(s), off[:-1])
+            arr = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[0], dtype=np.int32)), pa.array(np.ascontiguousarray(a.T).ravel().view(np.int64)))
+            took = pa.array(keep)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(took), part.column("grp").take(took), pa.array(cls.view(np.int64)), pa.array(np.diff(off).astype(np.int32)), arr(left), arr(right), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(3))],
+                names=["id", "grp", "cls", "n", "left_keys", "right_keys", "s0", "s1", "s2"],
+            )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHash()
+    for batch in batches:
+        s, off, keep = _shingles(batch.column("text").to_pylist(), words)
+        yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(s.view(np.int64)))], names=["cls", "shingles"])
+
+
+def _text(subject: str, body: str) -> F.Column:
+    return F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
+
+
+def alike(rows: DataFrame, id_col: str, group_col: str, subject: str = "subject", body: str = "body", threshold: float = THRESHOLD) -> DataFrame:
+    """(id_a, id_b): ids of different groups whose texts share at least ``threshold`` of their distinct shingles."""
+    src = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(group_col), F.concat(F.lit("\x00"), id_col)).alias("grp"), _text(subject, body).alias("text"))
+    schema = "id string, grp string, cls long, n int, left_keys array<long>, right_keys array<long>, s0 long, s1 long, s2 long"
+    docs = cut(spread(src).mapInArrow(_signatures, schema), "tensor")
+    members = docs.select("cls", "id", "grp").distinct()
+
+    # one row a class in every table
+    classes = docs.groupBy("cls").agg(F.min(F.struct("id", "n", "left_keys", "right_keys", "s0", "s1", "s2")).alias("d")).select("cls", "d.*")
+    # a key names its two partial keys in one number; equal numbers of different pairs are sorted out by verification
+    keyed = classes.select("cls", "n", "s0", "right_keys", F.explode("left_keys").alias("l")).select("cls", "n", "s0", "l", F.explode("right_keys").alias("r")).select("cls", "n", "s0", F.col("l").bitwiseXOR(F.col("r")).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    met = (
+        a.join(b, F.col("a.key") == F.col("b.key"))
+        .where(F.col("a.cls") < F.col("b.cls"))
+        .where(F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) <= NEAR_64)
+        .where((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")))
+        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+        .distinct()
+    )
+    sk = classes.select("cls", "id", "s1", "s2")
+    met = (
+        met.join(sk.toDF("a", "ra", "a1", "a2"), "a")
+        .join(sk.toDF("b", "rb", "b1", "b2"), "b")
+        .where(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= NEAR_128)
+        .select("a", "b", "ra", "rb")
+    )
+    met = cut(met, "tensor-met")
+
+    # exact verification: shingle sets of the representatives of candidates only
+    asked = met.select(F.col("ra").alias("id"), F.col("a").alias("cls")).union(met.select("rb", "b")).distinct()
+    text = src.join(asked, "id").select("cls", "text").groupBy("cls").agg(F.min("text").alias("text"))
+    sets = text.mapInArrow(_sets, "cls long, shingles array<long>")
+    both = met.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    true = both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+    # classes back to ids; a class is alike with itself where it has several members
+    several = members.groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    linked = true.unionByName(several)
+    m = members
+    pairs = linked.join(m.toDF("a", "ia", "ga"), "a").join(m.toDF("b", "ib", "gb"), "b").where((F.col("ga") != F.col("gb")) & (F.col("ia") != F.col("ib")))
+    return pairs.where((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()

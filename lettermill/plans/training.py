@@ -1,0 +1,74 @@
+"""Queries of the training-data operators that belong to the core: names (2), near duplicates (5), quota samples (6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lettermill.operators import quota_sample, tensor_banding
+from lettermill.session import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of different threads whose three-word shingle sets are at least half the same."""
+    return tensor_banding.alike(table(spark, sf_dir, "mailbox"), "email_id", "thread_id").toDF("email_id_a", "email_id_b")
+
+
+def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pool = quota_sample.categorised(table(spark, sf_dir, "mailbox"), table(spark, sf_dir, "topics"), "email_id", "topic", "topic")
+    return pool, quota_sample.requests(table(spark, sf_dir, "sample_manifest"))
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails drawn for each planned draw."""
+    return quota_sample.draw(*_quota(spark, sf_dir)).withColumnRenamed("id", "email_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted, floor, available and drawn mails of each draw and topic."""
+    pool, asked = _quota(spark, sf_dir)
+    return quota_sample.report(pool, asked, quota_sample.draw(pool, asked))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of a draw whose sample stayed under its target."""
+    return p6_report(spark, sf_dir).where(~F.col("met")).select("draw_id", "topic")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+
+_POOL = r"""
+WITH vocab AS (
+  SELECT topic, trim(regexp_replace(lower(replace(replace(topic, '_', ' '), '&', 'and')), '\s+', ' ', 'g')) AS k
+  FROM topics WHERE topic IS NOT NULL
+), pool AS (
+  SELECT DISTINCT email_id, v.topic
+  FROM mailbox m JOIN vocab v ON v.k = trim(regexp_replace(lower(replace(replace(m.topic, '_', ' '), '&', 'and')), '\s+', ' ', 'g'))
+  WHERE email_id IS NOT NULL
+), sizes AS (SELECT topic, count(*) AS available FROM pool GROUP BY topic),
+asked AS (
+  SELECT draw_id, min_per_topic, unnest(map_keys(alloc)) AS topic, unnest(map_values(alloc)) AS wanted FROM sample_manifest
+), rep AS (
+  SELECT draw_id, a.topic, CAST(coalesce(wanted, 0) AS BIGINT) AS wanted, CAST(coalesce(min_per_topic, 0) AS BIGINT) AS floor,
+         CAST(greatest(coalesce(wanted, 0), coalesce(min_per_topic, 0)) AS BIGINT) AS target, CAST(coalesce(s.available, 0) AS BIGINT) AS available
+  FROM asked a LEFT JOIN sizes s ON s.topic = a.topic
+)
+"""
+
+SQL = {
+    "p5_found": r"""
+WITH t AS (
+  SELECT email_id, min(thread_id) AS thread_id, min(regexp_extract_all(lower(coalesce(subject, '') || ' ' || coalesce(body, '')), '[a-z0-9]+')) AS w
+  FROM mailbox WHERE email_id IS NOT NULL GROUP BY email_id
+), s AS (
+  SELECT DISTINCT email_id, thread_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40
+), n AS (SELECT email_id, count(*) AS n FROM s GROUP BY email_id),
+c AS (
+  SELECT a.email_id AS a, b.email_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g AND a.email_id < b.email_id AND a.thread_id IS DISTINCT FROM b.thread_id GROUP BY 1, 2
+)
+SELECT a AS email_id_a, b AS email_id_b FROM c JOIN n x ON x.email_id = a JOIN n y ON y.email_id = b WHERE 2 * k >= x.n + y.n - k
+""",
+    "p6_found": _POOL + "SELECT draw_id, topic FROM rep WHERE available < target",
+    "p6_report": _POOL + "SELECT draw_id, topic, wanted, floor, target, available, least(available, target) AS drawn, available >= target AS met FROM rep",
+}
