@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import quota_sample, tensor_banding
+from lettermill.operators import name_link, quota_sample, tensor_banding
 from lettermill.session import table
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = table(spark, sf_dir, "name_audit").select(F.explode("found").alias("f")).select(F.col("f.name").alias("spelling"))
+    return table(spark, sf_dir, "mailbox").select(F.col("from").alias("spelling")).union(audit).distinct()
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person or organisation each spelling stands for."""
+    return name_link.entities(_spellings(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    return name_link.variant_pairs(_spellings(spark, sf_dir)).toDF("name_a", "name_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails of different threads whose three-word shingle sets are at least half the same."""
     return tensor_banding.alike(table(spark, sf_dir, "mailbox"), "email_id", "thread_id").toDF("email_id_a", "email_id_b")
@@ -35,7 +50,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_report(spark, sf_dir).where(~F.col("met")).select("draw_id", "topic")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+QUERIES = {"p2_entities": p2_entities, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
 
 _POOL = r"""
 WITH vocab AS (
