@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, mixing, quoted, same_look, subjects
+from lettermill.llm import bpe, mixing, personal, quoted, same_look, subjects
 from lettermill.session import cut, table
 
 
@@ -27,6 +27,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.areas(*(table(spark, sf_dir, t) for t in ("mailbox", "topic_labels", "topics")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal details of every mail."""
+    return personal.found(table(spark, sf_dir, "mailbox"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mail with typed placeholders for its personal details."""
+    return personal.redacted(table(spark, sf_dir, "mailbox"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encoded(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -65,5 +75,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look.same_look_pairs(table(spark, sf_dir, "documents"), "doc_id").toDF("doc_id_a", "doc_id_b")
 
 
-QUERIES = {"p1_found": p1_found, "p1_own": p1_own, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_own": p1_own, "p3_found": p3_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {}
