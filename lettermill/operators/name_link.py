@@ -130,27 +130,30 @@ def entities(spellings: DataFrame) -> DataFrame:
     anchors = people.where("kind = 'addr'").select(as_formal("first").alias("f"), "last", "dom", "mid").withColumn("entity", F.concat_ws(" ", "f", "last"))
     who = anchors.select("entity", "f", "last").distinct()
     keys = who.select("entity", F.explode(F.concat(F.array("f"), F.coalesce(F.element_at(shorts, F.col("f")), F.array().cast("array<string>")))).alias("g"), "last").select("entity", F.concat_ws(" ", "g", "last").alias("key"))
-    keys = _best(keys.withColumn("_z", F.lit(0)), "key", "entity", "_z")
+    keys = cut(_best(keys.withColumn("_z", F.lit(0)), "key", "entity", "_z"), "keys")
 
     # full names: equal, else within the radius in either order
     full = people.where("kind = 'full'").select("spelling", F.concat_ws(" ", "first", "last").alias("key"), F.concat_ws(" ", "last", "first").alias("other"), "known")
     equal = full.join(keys, "key").select("spelling", "entity")
     rest = full.join(equal, "spelling", "left_anti")
     asked = rest.select("spelling", "key").union(rest.where("not known").select("spelling", F.col("other")))
-    near = radius_join(asked.select("key"), keys.select("key"), RADIUS)
+    asked = cut(asked, "asked")
+    near = cut(radius_join(asked.select("key"), keys.select("key"), RADIUS), "near")
     near = asked.join(near, asked["key"] == near["l"]).join(keys.withColumnRenamed("key", "r"), "r").select("spelling", "entity", "dist")
     near = _best(near, "spelling", "entity", "dist")
-    linked = equal.union(near)
+    linked = cut(equal.union(near), "linked")
 
     # no anchor: group among themselves, each to the best supported name within the radius
     alone = full.join(linked.select("spelling"), "spelling", "left_anti").join(people.select("spelling", as_formal("first").alias("f"), "last"), "spelling").withColumn("name", F.concat_ws(" ", "f", "last"))
+    alone = cut(alone, "alone")
     support = alone.groupBy("name").agg(F.count("*").alias("n"))
     pairs = radius_join(support.select(F.col("name").alias("key")), support.select(F.col("name").alias("key")), RADIUS)
-    to = pairs.join(support.toDF("r", "n"), "r").groupBy("l").agg(F.max(F.struct("n", (-F.col("dist")).alias("d"), "r")).alias("m")).select(F.col("l").alias("name"), F.col("m.r").alias("entity"))
-    lone = alone.join(to, "name").select("spelling", "entity")
+    to = pairs.join(support.toDF("r", "n"), "r").groupBy("l").agg(F.max(F.struct("n", "r")).alias("m")).select(F.col("l").alias("name"), F.col("m.r").alias("entity"))
+    lone = cut(alone.join(to, "name").select("spelling", "entity"), "lone")
 
     # initials and logins by surname
     named = who.select(F.substring("f", 1, 1).alias("i"), "last", "entity").union(lone.select("entity").distinct().select(F.substring("entity", 1, 1), F.element_at(F.split("entity", " "), -1), "entity")).distinct()
+    named = cut(named, "named")
     mids = linked.union(lone).join(people.where("mid <> ''").select("spelling", "mid"), "spelling").select("entity", F.col("mid").alias("known_mid")).distinct()
     init = parts.where("kind = 'init'").select("spelling", F.col("a").alias("i"), F.col("b").alias("last"), "mid")
     hit = init.join(named, ["i", "last"])
@@ -159,7 +162,7 @@ def entities(spellings: DataFrame) -> DataFrame:
     fuzzy = far.join(near_last, far["last"] == near_last["l"]).select("spelling", "i", F.col("r").alias("last"), "mid", "dist").join(named, ["i", "last"])
     cands = hit.select("spelling", "entity", "mid", F.lit(0).alias("dist")).union(fuzzy.select("spelling", "entity", "mid", "dist"))
     cands = cands.join(mids, (cands["entity"] == mids["entity"]) & (cands["mid"] == mids["known_mid"]), "left").select("spelling", cands["entity"], "dist", F.when(F.col("known_mid").isNotNull(), 0).otherwise(1).alias("off"))
-    initials = _best(cands, "spelling", "entity", "dist", "off")
+    initials = cut(_best(cands, "spelling", "entity", "dist", "off"), "initials")
     logins = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login"), "dom")
     own = anchors.select("entity", "dom", F.explode(F.array(F.concat(F.substring("f", 1, 1), "last"), F.concat("f", "last"), F.concat("last", F.substring("f", 1, 1)))).alias("login")).distinct()
     logins = _best(logins.join(own, ["login", "dom"]).withColumn("_z", F.lit(0)), "spelling", "entity", "_z")
@@ -169,8 +172,8 @@ def entities(spellings: DataFrame) -> DataFrame:
     org = parts.where("kind = 'org'").select("spelling", F.col("a").alias("head"), (F.col("dom") != "").alias("sure"))
     heads = org.groupBy("head").agg(F.max("sure").alias("sure"), F.count("*").alias("n"))
     op = radius_join(heads.where("not sure").select(F.col("head").alias("key")), heads.select(F.col("head").alias("key")), RADIUS)
-    to = op.join(heads.toDF("r", "sure", "n"), "r").groupBy("l").agg(F.max(F.struct("sure", "n", (-F.col("dist")).alias("d"), "r")).alias("m")).select(F.col("l").alias("head"), F.col("m.r").alias("to"))
-    orgs = org.join(to, "head", "left").select("spelling", F.concat(F.lit("org:"), F.coalesce("to", "head")).alias("entity"))
+    to = op.join(heads.toDF("r", "sure", "n"), "r").groupBy("l").agg(F.max(F.struct("sure", F.when(F.col("sure"), -F.col("dist")).otherwise(0).alias("d"), "n", "r")).alias("m")).select(F.col("l").alias("head"), F.col("m.r").alias("to"))
+    orgs = cut(org.join(to, "head", "left").select("spelling", F.concat(F.lit("org:"), F.coalesce("to", "head")).alias("entity")), "orgs")
 
     every = addresses.union(linked).union(lone).union(initials).union(logins).union(orgs).distinct()
     # a display name with an address is the address's owner; of several readings the first kind named wins
