@@ -31,7 +31,7 @@ LEFT, RIGHT = 6, 12
 SHINGLE = 3
 MIN_WORDS = 40
 THRESHOLD = 0.5
-NEAR_64, NEAR_128 = 27, 49  # most differing sketch bits of a candidate: 3.2 standard deviations beyond what similarity 0.5 gives
+NEAR_64, NEAR_128 = 24, 49  # most differing sketch bits of a candidate: 2.4 and 3.4 standard deviations beyond what similarity 0.5 gives
 WORD = re.compile(r"[a-z0-9]+")
 _VOCAB_MAX = 1_000_000
 
@@ -110,10 +110,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # sizes count 64-bit hashes; the sets travel as their upper halves, of which two texts' hundreds clash by chance once in 100,000 pairs
     words = WordHash()
     for batch in batches:
         s, off, keep = _shingles(batch.column("text").to_pylist(), words)
-        yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(s.view(np.int64)))], names=["cls", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep)), pa.array(np.diff(off).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["cls", "n", "shingles"])
 
 
 def _text(subject: str, body: str) -> F.Column:
@@ -128,7 +129,7 @@ def alike(rows: DataFrame, id_col: str, group_col: str, subject: str = "subject"
     members = docs.select("cls", "id", "grp").distinct()
 
     # one row a class in every table
-    classes = docs.groupBy("cls").agg(F.min(F.struct("id", "n", "left_keys", "right_keys", "s0", "s1", "s2")).alias("d")).select("cls", "d.*")
+    classes = docs.groupBy("cls").agg(F.min(F.struct("id", "n", "left_keys", "right_keys", "s0", "s1", "s2")).alias("d"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).select("cls", "d.*", F.expr("CASE WHEN g0 = g1 THEN g0 END").alias("g"))
     # a key names its two partial keys in one number; equal numbers of different pairs are sorted out by verification
     keyed = classes.select("cls", "n", "s0", "right_keys", F.explode("left_keys").alias("l")).select("cls", "n", "s0", "l", F.explode("right_keys").alias("r")).select("cls", "n", "s0", F.col("l").bitwiseXOR(F.col("r")).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -140,22 +141,23 @@ def alike(rows: DataFrame, id_col: str, group_col: str, subject: str = "subject"
         .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
         .distinct()
     )
-    sk = classes.select("cls", "id", "s1", "s2")
+    sk = classes.select("cls", F.when(F.col("g").isNotNull(), F.xxhash64("g")).alias("g"), "s1", "s2")
     met = (
-        met.join(sk.toDF("a", "ra", "a1", "a2"), "a")
-        .join(sk.toDF("b", "rb", "b1", "b2"), "b")
+        met.join(sk.toDF("a", "ga", "a1", "a2"), "a")
+        .join(sk.toDF("b", "gb", "b1", "b2"), "b")
+        .where("ga IS NULL OR gb IS NULL OR ga <> gb")  # two classes that lie in one and the same group give no pair
         .where(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= NEAR_128)
-        .select("a", "b", "ra", "rb")
+        .select("a", "b")
     )
     met = cut(met, "tensor-met")
 
     # exact verification: shingle sets of the representatives of candidates only
-    asked = met.select(F.col("ra").alias("id"), F.col("a").alias("cls")).union(met.select("rb", "b")).distinct()
+    asked = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct().join(classes.select("cls", "id"), "cls")
     text = src.join(asked, "id").select("cls", "text").groupBy("cls").agg(F.min("text").alias("text"))
-    sets = text.mapInArrow(_sets, "cls long, shingles array<long>")
-    both = met.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    sets = text.mapInArrow(_sets, "cls long, n int, shingles array<int>")
+    both = met.select("a", "b").join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    true = both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    true = both.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
     # classes back to ids; a class is alike with itself where it has several members
     several = members.groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
