@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from lettermill.plans import training
+from lettermill.plans import core_plans, step_plans, text_plans, text_sql, training
 
-CATALOGS = [training]
+CATALOGS = [(training.QUERIES, training.SQL), (text_plans.QUERIES, text_sql.SQL), (core_plans.QUERIES, core_plans.SQL), (step_plans.QUERIES, step_plans.SQL)]
 
 
 def queries() -> dict:
-    return {k: v for c in CATALOGS for k, v in c.QUERIES.items()}
+    return {k: v for qs, _ in CATALOGS for k, v in qs.items()}
 
 
 def sql() -> dict:
-    return {k: v for c in CATALOGS for k, v in c.SQL.items()}
+    return {k: v for _, sq in CATALOGS for k, v in sq.items()}
