@@ -99,11 +99,22 @@ class Finder:
 
     def __init__(self, classes, weights: dict[str, float]):
         self.words, self.weights = spans.Words(*classes), weights
+        self.memo: dict[tuple, list[tuple[int, int, str]]] = {}
 
     def __call__(self, text: str, loose: bool = False) -> list[tuple[int, int, str]]:
         out = []
-        for c in spans.clusters(text, self.words, loose):
-            out += spans.decode(c, self.weights)
+        for s, e, group in spans.groups(text, self.words, loose):
+            a, b = spans.surroundings(text, s, e)
+            key = (text[a:b], s - a, e - a, loose, a == 0) if b - a <= 240 else None
+            got = self.memo.get(key) if key else None
+            if got is None:
+                c = spans.build(text, group)
+                got = [(x - a, y - a, k) for x, y, k in spans.decode(c, self.weights)] if c.cands else []
+                if key:
+                    if len(self.memo) >= 60_000:
+                        self.memo.clear()
+                    self.memo[key] = got
+            out += [(x + a, y + a, k) for x, y, k in got]
         return out
 
 

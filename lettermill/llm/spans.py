@@ -38,6 +38,7 @@ ADDRESS = re.compile(
 RUN = re.compile(rf"(?<![\w@.])[A-Z](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Z]\.)*)?(?:{GAP}[A-Z](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Z]\.)*)?)*")
 LOOSE = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?(?:,? [^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Za-z]\.)*)?)*")
 LOW = re.compile(r"(?<![\w@.-])(?=([a-z]{2,}(?:-[a-z]+)?)(,? )([a-z]{2,})(?![\w@-]))")
+LOW_WORD = re.compile(r"(?<![\w@.-])[a-z]{3,}(?![\w@-])")
 TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Za-z]\.)*)?")
 MARKS = re.compile(r"(?:\s{0,2}>|[A-Z]{2,3}> ?|\|(?= |$)|\t)*\s?")
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof"}
@@ -144,6 +145,11 @@ def _line(text: str, s: int, e: int, start_line: int) -> str:
 
 def clusters(text: str, words: Words, loose: bool = False) -> list[Cluster]:
     """All clusters of a text in order. ``loose`` also reads names in small letters (for the sender field)."""
+    return [c for _, _, g in groups(text, words, loose) if (c := build(text, g)).cands]
+
+
+def groups(text: str, words: Words, loose: bool = False) -> list[tuple[int, int, list]]:
+    """(start, end, overlapping regions) in order."""
     regions: list[tuple[int, int, str, object]] = []
     if "@" in text or SPELT.search(text):
         regions += [(m.start(), m.end(), "e", m) for m in EMAIL.finditer(text)]
@@ -157,7 +163,8 @@ def clusters(text: str, words: Words, loose: bool = False) -> list[Cluster]:
         cls = [words(text[a:b]) for a, b in toks]
         if any(c in "GSBU" for c in cls):
             regions.append((m.start(), m.end(), "r", (toks, cls)))
-    if not loose:
+    # names typed in small letters: looked for only where a surname stands so
+    if not loose and any(words(w) in "SB" for w in set(LOW_WORD.findall(text))):
         for m in LOW.finditer(text):
             a, b = words(m[1]), words(m[3])
             if (a in "GB" and b in "SB") or (a in "SB" and b in "GB"):
@@ -166,20 +173,28 @@ def clusters(text: str, words: Words, loose: bool = False) -> list[Cluster]:
     if not regions:
         return []
     regions.sort(key=lambda r: r[:2])
-    out: list[Cluster] = []
+    out: list[tuple[int, int, list]] = []
     group: list = []
     end = -1
     for r in regions:
         if r[0] >= end and group:
-            out.append(_build(text, group))
+            out.append((group[0][0], end, group))
             group = []
         group.append(r)
         end = max(end, r[1])
-    out.append(_build(text, group))
-    return [c for c in out if c.cands]
+    out.append((group[0][0], end, group))
+    return out
+
+
+def surroundings(text: str, s: int, e: int) -> tuple[int, int]:
+    """The stretch that the features of a cluster can see: from the line before (24 characters at least) to the end of the last line."""
+    a = text.rfind("\n", 0, s)
+    a = text.rfind("\n", 0, a) + 1 if a > 0 else 0
+    b = text.find("\n", e)
+    return min(a, max(0, s - 24)), (len(text) if b < 0 else b)
 
 
-def _build(text: str, group: list) -> Cluster:
+def build(text: str, group: list) -> Cluster:
     c = Cluster()
     strong: list[tuple[int, int]] = []
     for s, e, kind, m in group:
