@@ -163,19 +163,19 @@ def fit(rows: DataFrame, n_topics: int) -> dict[str, np.ndarray]:
             pdf = pdf.sort_values("email_id")
             rows_ = epoch(m, pdf["text"].tolist(), np.stack(pdf["y"].to_numpy()).astype(np.float32), pdf["w"].to_numpy(np.float32), r)
             rest = np.concatenate([(m[k] - shared.value[k]).ravel() for k in ("W", "b", "gW", "gb")]).astype(np.float32)
-            delta = np.concatenate([m["E"][rows_] - shared.value["E"][rows_], (m["gE"][rows_] - shared.value["gE"][rows_])[:, None]], axis=1).astype(np.float32)
-            return pd.DataFrame({"rows": [rows_.astype(np.int32).tobytes()], "delta": [delta.tobytes()], "rest": [rest.tobytes()]})
+            delta = (m["E"][rows_] - shared.value["E"][rows_]).astype(np.float16)
+            squares = (m["gE"][rows_] - shared.value["gE"][rows_]).astype(np.float32)
+            return pd.DataFrame({"rows": [rows_.astype(np.int32).tobytes()], "delta": [delta.tobytes()], "squares": [squares.tobytes()], "rest": [rest.tobytes()]})
 
-        parts = rows.groupBy("shard").applyInPandas(one, "rows binary, delta binary, rest binary").collect()
+        parts = rows.groupBy("shard").applyInPandas(one, "rows binary, delta binary, squares binary, rest binary").collect()
         if not parts:
             return model
         touched = np.zeros(BUCKETS, np.float32)
         dE, dg = np.zeros_like(model["E"]), np.zeros(BUCKETS, np.float32)
         for p in parts:
             i = np.frombuffer(p["rows"], np.int32)
-            d = np.frombuffer(p["delta"], np.float32).reshape(len(i), DIM + 1)
-            dE[i] += d[:, :DIM]
-            dg[i] += d[:, DIM]
+            dE[i] += np.frombuffer(p["delta"], np.float16).reshape(len(i), DIM)
+            dg[i] += np.frombuffer(p["squares"], np.float32)
             touched[i] += 1
         n = np.maximum(touched, 1)
         model["E"] += dE / n[:, None]
@@ -185,7 +185,7 @@ def fit(rows: DataFrame, n_topics: int) -> dict[str, np.ndarray]:
         for k in ("W", "b", "gW", "gb"):
             model[k] += rest[at : at + model[k].size].reshape(model[k].shape)
             at += model[k].size
-        shared.unpersist()
+        shared.destroy()
     return model
 
 
@@ -193,10 +193,10 @@ def scores(texts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """The columns of ``texts`` but its last, ``text``, and ``n`` and ``z``: the number of terms and the sum of their logits."""
     spark = texts.sparkSession
     n_topics = model["W"].shape[1]
-    table = spark.sparkContext.broadcast((model["E"] @ model["W"]).astype(np.float32))  # fixed size: BUCKETS rows
+    table = spark.sparkContext.broadcast((model["E"] @ model["W"]).astype(np.float16))  # fixed size: BUCKETS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T = table.value
+        T = table.value.astype(np.float32)
         units, own, full = Units(), np.empty(0, np.int32), np.empty((0, n_topics), np.float32)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
