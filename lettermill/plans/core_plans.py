@@ -10,7 +10,7 @@ from lettermill.functions import text as X
 from lettermill.operators import graph, quota_sample, search, session
 from lettermill.plans.text_plans import mails
 from lettermill.plans.text_sql import MAILS, q, tokens
-from lettermill.session import table
+from lettermill.session import bounded, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,7 +142,7 @@ def nearest_topic(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     c = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("v"))
     dot = F.round(F.aggregate(F.zip_with("embedding", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x), 5)
-    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(c.limit(100))).select("vec_id", "label", dot.alias("dot"))
+    s = e.select("vec_id", "embedding").crossJoin(F.broadcast(bounded(c, 2_000))).select("vec_id", "label", dot.alias("dot"))
     return s.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("label")).alias("l"))).alias("b")).select("vec_id", (-F.col("b.l")).alias("nearest"), F.col("b.dot").alias("dot"))
 
 
@@ -387,7 +387,7 @@ def surviving_chain(spark, sf_dir):
 def job_expansion(spark, sf_dir):
     """Pairs of topic and pattern still without a chain; both are fixed vocabularies."""
     k = table(spark, sf_dir, "answer_key").select("topic", "pattern").distinct()
-    jobs = table(spark, sf_dir, "topics").where("note IS NOT NULL").select("topic").crossJoin(F.broadcast(k.select("pattern").distinct()))
+    jobs = table(spark, sf_dir, "topics").where("note IS NOT NULL").select("topic").crossJoin(F.broadcast(bounded(k.select("pattern").distinct(), 1_000)))
     return jobs.join(k, ["topic", "pattern"], "left_anti").distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lettermill.functions import text as X
 from lettermill.functions.nicknames import FORMAL
-from lettermill.session import table
+from lettermill.session import bounded, table
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def canon_label(spark, sf_dir):
     vocab = table(spark, sf_dir, "topics").select(F.col("topic").alias("label"), F.regexp_replace("topic", r"\s*(?:&|and)\s*", " ").alias("norm")).distinct()
     raw = table(spark, sf_dir, "mailbox").select(F.col("topic").alias("raw")).where("raw IS NOT NULL").distinct()
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("raw"), r"\s*(?:&|and)\s*", " "), r"[^a-z ]+", " "), r"\s+", " ")
-    hits = raw.withColumn("k", key).join(F.broadcast(vocab.limit(500)), F.expr("instr(k, norm) > 0"))  # a vocabulary, fixed
+    hits = raw.withColumn("k", key).join(F.broadcast(bounded(vocab, 2_000)), F.expr("instr(k, norm) > 0"))
     best = hits.groupBy("raw").agg(F.min(F.struct(F.expr("instr(k, norm)").alias("at"), (-F.length("norm")).alias("l"), "label")).alias("b")).select("raw", F.col("b.label").alias("found"))
     return raw.join(best, "raw", "left").select("raw", F.coalesce("found", F.lit("?")).alias("label"))
 

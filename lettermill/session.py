@@ -51,6 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` as a local relation, safe to broadcast; raises where it has more than ``most`` rows, so nothing is dropped."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a small table is needed")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     """One row a key, chosen by the rows' own content so that it does not depend on partitioning. Rows with a null key form one key."""
     rest = [c for c in df.columns if c not in keys]
