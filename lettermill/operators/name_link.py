@@ -32,7 +32,7 @@ CORPORATE = {"inc", "incorporated", "corp", "corporation", "co", "company", "ltd
 ORG_WORDS = {
     "bank", "university", "univ", "press", "hospital", "hosp", "department", "dept", "power", "valley", "pipeline", "services", "svcs", "engineering", "engrg", "associates", "assoc",
     "insurance", "brothers", "bros", "group", "grp", "technology", "tech", "manufacturing", "mfg", "international", "intl", "regional", "reg", "transport", "trust", "partners", "holdings",
-    "energy", "gas", "freight", "mutual", "works", "college", "school", "society", "council", "agency", "office", "systems", "industries", "consulting",
+    "vly", "pwr", "pipe", "svc", "ins", "trans", "engr", "engg", "mfrs", "natl", "energy", "gas", "freight", "mutual", "works", "college", "school", "society", "council", "agency", "office", "systems", "industries", "consulting",
 }
 ROLE = {"notices", "info", "office", "contact", "billing", "admin", "news", "support", "sales", "noreply", "service", "mail"}
 PARSED = "spelling string, kind string, a string, b string, mid string, dom string, sure boolean"
@@ -66,7 +66,9 @@ def read_spelling(s: str) -> list[tuple]:
     if inside or any(w in ORG_WORDS or w in CORPORATE for w in low):
         heads = [w.lower() for w in _WORD.findall(inside[1])] if inside else [w for w in low if w not in CORPORATE]
         if heads:
-            out.append(("org", heads[0], "", "", "", True))
+            # initials of the words that say what it does; the same for their abbreviations
+            what = [w[0] for w in low if w not in CORPORATE and w not in ("of", "and", heads[0])]
+            out.append(("org", heads[0], "".join(what), "", "", True))
         return out
     comma = "," in show
     left, _, right = show.partition(",")
@@ -166,13 +168,19 @@ def entities(spellings: DataFrame) -> DataFrame:
     logins = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login"), "dom")
     own = anchors.select("entity", "dom", F.explode(F.array(F.concat(F.substring("f", 1, 1), "last"), F.concat("f", "last"), F.concat("last", F.substring("f", 1, 1)))).alias("login")).distinct()
     logins = _best(logins.join(own, ["login", "dom"]).withColumn("_z", F.lit(0)), "spelling", "entity", "_z")
+    # a login whose person writes under no full address
+    lost = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login")).join(logins, "spelling", "left_anti")
+    logins = logins.union(_best(lost.join(named.withColumn("login", F.concat("i", "last")), "login").withColumn("_z", F.lit(0)), "spelling", "entity", "_z"))
     addresses = people.where("kind = 'addr'").select("spelling", F.concat_ws(" ", as_formal("first"), F.col("last")).alias("entity"))
 
     # organisations by head word
-    org = parts.where("kind = 'org'").select("spelling", F.col("a").alias("head"), (F.col("dom") != "").alias("sure"))
-    heads = org.groupBy("head").agg(F.max("sure").alias("sure"), F.count("*").alias("n"))
+    org = parts.where("kind = 'org'").select("spelling", F.col("a").alias("head"), F.col("b").alias("what"), (F.col("dom") != "").alias("sure"))
+    heads = org.groupBy("head").agg(F.max("sure").alias("sure"), F.count("*").alias("n"), F.mode(F.expr("nullif(what, '')"), True).alias("what"))
+    heads = cut(heads, "heads")
     op = radius_join(heads.where("not sure").select(F.col("head").alias("key")), heads.select(F.col("head").alias("key")), RADIUS)
-    to = op.join(heads.toDF("r", "sure", "n"), "r").groupBy("l").agg(F.max(F.struct("sure", F.when(F.col("sure"), -F.col("dist")).otherwise(0).alias("d"), "n", "r")).alias("m")).select(F.col("l").alias("head"), F.col("m.r").alias("to"))
+    own = heads.select(F.col("head").alias("l"), F.col("what").alias("own_what"))
+    op = op.join(heads.withColumnRenamed("head", "r"), "r").join(own, "l").where("l = r OR what = own_what OR what IS NULL OR own_what IS NULL")  # another trade is another firm
+    to = op.groupBy("l").agg(F.max(F.struct("sure", F.when(F.col("sure"), -F.col("dist")).otherwise(0).alias("d"), "n", "r")).alias("m")).select(F.col("l").alias("head"), F.col("m.r").alias("to"))
     orgs = cut(org.join(to, "head", "left").select("spelling", F.concat(F.lit("org:"), F.coalesce("to", "head")).alias("entity")), "orgs")
 
     every = addresses.union(linked).union(lone).union(initials).union(logins).union(orgs).distinct()

@@ -214,6 +214,11 @@ def test_spellings_of_people_and_firms(spark):
     assert pairs.count() == 45 + 3 + 10 and pairs.where("a >= b").count() == 0
 
 
+def test_firms_of_another_trade_stay_apart(spark):
+    df = spark.createDataFrame([(x,) for x in ("Nabloland Valley Power Inc", "Nabloland Vly Pwr", "Abnoland Manufacturing Limited", "Manufacturing Ltd (Abnoland)", "Abnolnad Mfg")], "spelling string")
+    assert rows(name_link.variant_pairs(df), "a", "b") == [("Abnoland Manufacturing Limited", "Abnolnad Mfg"), ("Abnoland Manufacturing Limited", "Manufacturing Ltd (Abnoland)"), ("Abnolnad Mfg", "Manufacturing Ltd (Abnoland)"), ("Nabloland Valley Power Inc", "Nabloland Vly Pwr")]
+
+
 def test_no_names_at_all(spark):
     assert name_link.variant_pairs(spark.createDataFrame([], "spelling string")).count() == 0
 
