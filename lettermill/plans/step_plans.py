@@ -125,3 +125,35 @@ def answer_fallback(spark, sf_dir):
 def mention_forms(spark, sf_dir):
     f = table(spark, sf_dir, "name_audit").select("email_id", F.explode("found").alias("f"))
     return f.groupBy("email_id").agg(F.count_distinct("f.name").alias("names"), F.array_join(F.array_sort(F.collect_set("f.name")), " | ").alias("forms"))
+
+
+@query(r"""WITH a AS (SELECT DISTINCT regexp_extract(lower("from"), '([\w.+-]+)@[\w.-]+\w', 1) AS local FROM mailbox) SELECT local, CASE WHEN contains(local, '.') THEN 'belmor.corwen' WHEN contains(local, '_') THEN 'belmor_corwen' ELSE 'bcorwen' END AS shaped FROM a WHERE local <> ''""")
+def address_reshape(spark, sf_dir):
+    """A stand-in's local part in the shape of each real one."""
+    a = table(spark, sf_dir, "mailbox").select(F.regexp_extract(F.lower("from"), r"([\w.+-]+)@[\w.-]+\w", 1).alias("local")).distinct().where("local <> ''")
+    return a.select("local", pseudonyms.reshape_address(F.col("local"), F.lit("Belmor"), F.lit("Corwen")).alias("shaped"))
+
+
+@query()
+def quota_jitter(spark, sf_dir):
+    """Quotas moved by up to five either way with the total kept; one row a topic."""
+    from lettermill.plans.core_plans import quota_alloc
+    from lettermill.session import bounded
+
+    rows = bounded(quota_alloc(spark, sf_dir), 2_000).collect()
+    got = fill.jittered({r["topic"]: r["quota"] for r in rows}, 5, 20, {r["topic"]: r["pool"] for r in rows})
+    return spark.createDataFrame(sorted(got.items()), "topic string, quota long")
+
+
+@query("""SELECT email_id FROM (SELECT DISTINCT email_id FROM mailbox WHERE email_id NOT IN (SELECT email_id FROM topic_labels WHERE email_id IS NOT NULL)) ORDER BY email_id LIMIT 100""")
+def exclude_and_limit(spark, sf_dir):
+    """The first hundred ids that are not on an exclusion list."""
+    m = table(spark, sf_dir, "mailbox").select("email_id").distinct()
+    return m.join(table(spark, sf_dir, "topic_labels"), "email_id", "left_anti").orderBy("email_id").limit(100)
+
+
+@query("""SELECT chain, clue, len(ids) AS n, ids[1] AS first FROM (SELECT chain, unnest(map_keys(planted)) AS clue, unnest(map_values(planted)) AS ids FROM answer_key) WHERE len(ids) > 0""")
+def clue_messages(spark, sf_dir):
+    """Messages of each clue and the first of them."""
+    k = table(spark, sf_dir, "answer_key").select("chain", F.explode("planted").alias("clue", "ids")).where(F.size("ids") > 0)
+    return k.select("chain", "clue", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"))
