@@ -76,4 +76,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_own": p1_own, "p3_found": p3_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_forms": p9_forms}
-SQL: dict[str, str] = {}
+_FORMS = same_look.form_sql("(SELECT doc_id AS r, text AS t FROM documents)", "r AS doc_id, ")
+SQL: dict[str, str] = {
+    "p9_forms": f"SELECT doc_id, form FROM ({_FORMS})",
+    "p9_found": rf"""WITH f AS (SELECT doc_id, form, text FROM ({_FORMS}) JOIN documents USING (doc_id) WHERE regexp_matches(form, '\S'))
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+}

@@ -87,17 +87,18 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql() -> str:
+def form_sql(batch: str = "batch", columns: str = "") -> str:
+    """SQL of the one form, ``form``, of the texts ``t`` of a table with row keys ``r``."""
     src, to, joined, invisible = _tables()
     some = "[" + "".join(a for a, _ in joined) + "]"
     chain = "x"
     for a, b in joined:
         chain = f"replace({chain}, {_quoted(a)}, {_quoted(b)})"
     return f"""
-        WITH plain AS (SELECT r, nfc_normalize(regexp_replace(t, {_quoted(invisible)}, '', 'g')) AS x FROM batch),
+        WITH plain AS (SELECT r, nfc_normalize(regexp_replace(t, {_quoted(invisible)}, '', 'g')) AS x FROM {batch}),
         opened AS (SELECT r, x FROM plain WHERE NOT regexp_matches(coalesce(x, ''), {_quoted(some)})
                    UNION ALL SELECT r, {chain} FROM plain WHERE regexp_matches(coalesce(x, ''), {_quoted(some)}))
-        SELECT nfc_normalize(translate(x, {_quoted(src)}, {_quoted(to)})) AS form FROM opened ORDER BY r
+        SELECT {columns}nfc_normalize(translate(x, {_quoted(src)}, {_quoted(to)})) AS form FROM opened ORDER BY r
     """
 
 
@@ -105,7 +106,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-    sql = _sql()
+    sql = form_sql()
     for whole in batches:
         for lo in range(0, whole.num_rows, 2048):
             part = whole.slice(lo, 2048)
