@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions.text import search_tokens
+from lettermill.session import cut
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, tf, len)."""
-    d = docs.select(F.col(key).alias("doc"), search_tokens(text).alias("toks"))
+def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, toks), written once: lengths, frequencies and postings all start from it."""
+    return cut(docs.select(F.col(key).alias("doc"), search_tokens(text).alias("toks")), "tokens")
+
+
+def postings(d: DataFrame) -> DataFrame:
+    """(doc, term, tf, len) of tokenised documents."""
     return d.select("doc", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, qkey: str = "qid", qtext: str = "query") -> DataFrame:
     """(qid, doc, score, rank): the best ``k`` documents of each query with a score above zero; ties by document key. Queries count each of their terms once."""
-    p = postings(docs, key, text)
+    d = tokenised(docs, key, text)
+    p = postings(d)
     q = queries.select(F.col(qkey).alias("qid"), F.explode(F.array_distinct(search_tokens(qtext))).alias("term")).distinct()
-    size = docs.select(F.size(search_tokens(text)).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))  # one row
+    size = d.select(F.size("toks").alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))  # one row
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = q.join(p, "term").join(df, "term").crossJoin(F.broadcast(size)).groupBy("qid", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    # only postings of asked terms are joined with their frequencies
+    hits = q.join(p.join(q.select("term").distinct(), "term", "left_semi"), "term").join(df, "term").crossJoin(F.broadcast(size)).groupBy("qid", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
     return hits.where("score > 0").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
