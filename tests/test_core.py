@@ -239,6 +239,23 @@ def test_a_leak_raises(spark):
         pseudonyms.verified(spark.createDataFrame([("e", "so farid  Eltfiokafu said")], "email_id string, body string"), people)
 
 
+def test_rewrite_of_initials_logins_lone_names_and_addresses(spark):
+    body = "Farid M. Eltfiokafu, F. Eltfiokafu, Eltfiokafu, F., feltfiokafu2, Eltfiokafu farid, eltfiokafu@tessel, amara77@tessel.example. P.O. Box 7. I, Farid, may go; a plan stays."
+    m = spark.createDataFrame([("e1", "t", None, None, body, "farid.eltfiokafu@tessel.example"), ("e2", "t", None, None, "Ask Eltfiokafu or F. K. Eltfiokafu.", "x"), ("e3", "t", None, None, "May we grant it?", "may.grant@tessel.example")], MAIL)
+    got = {r.email_id: r.body for r in pseudonyms.pseudonymised(m).collect()}
+    low = " ".join(got.values()).lower()
+    assert not any(x in low for x in ("farid", "eltfiokafu", "amara", "box 7", " f. ")) and got["e3"].endswith("we grant it?")
+    assert "I, " in got["e1"] and got["e1"].endswith("may go; a plan stays.")
+
+
+@pytest.mark.parametrize("left", ["Farid M. Eltfiokafu", "Eltfiokafu, Farid", "f. eltfiokafu", "feltfiokafu", "713-555-0100", "x.y@tessel.example", "P.O. Box 7"])
+def test_the_scan_sees_every_form(spark, left):
+    people = spark.createDataFrame([("farid", "eltfiokafu")], "first string, last string")
+    was = spark.createDataFrame([("e", "t", None, None, "713-555-0100 x.y@tessel.example P.O. Box 7", "x")], MAIL)
+    with pytest.raises(ValueError):
+        pseudonyms.verified(spark.createDataFrame([("e", f"so {left} said")], "email_id string, body string"), people, was)
+
+
 # ---- engines, layout
 
 
