@@ -31,7 +31,7 @@ LEFT, RIGHT = 6, 12
 SHINGLE = 3
 MIN_WORDS = 40
 THRESHOLD = 0.5
-NEAR_64, NEAR_128 = 24, 49  # most differing sketch bits of a candidate: 2.4 and 3.4 standard deviations beyond what similarity 0.5 gives
+NEAR_64, NEAR_128 = 27, 49  # most differing sketch bits of a candidate: 3.2 and 3.4 standard deviations beyond what similarity 0.5 gives
 WORD = re.compile(r"[a-z0-9]+")
 _VOCAB_MAX = 1_000_000
 

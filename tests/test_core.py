@@ -1,5 +1,6 @@
 """Decision logic on small tables with known answers, and the invariants of the draws."""
 
+import math
 import random
 
 import pytest
@@ -169,6 +170,12 @@ def test_near_duplicates_against_brute_force(spark):
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 5
 
 
+def test_sketches_lose_next_to_no_pair_at_the_threshold():
+    """Of pairs of similarity 0.5, whose one-bit sketches differ in a quarter of their bits, less than one in 500 fails either sketch test."""
+    over = lambda n, most: sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(most + 1, n + 1))
+    assert over(64, tensor_banding.NEAR_64) < 0.002 and over(128, tensor_banding.NEAR_128) < 0.002
+
+
 def test_copies_in_other_threads_pair_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([("a", "t1", "s", text), ("b", "t2", "s", text), ("c", "t1", "s", text), ("d", None, "s", text)], "email_id string, thread_id string, subject string, body string")
