@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, mail_lines, mixing, personal, quoted, same_look, spans, subjects
+from lettermill.llm import bpe, mail_lines, mixing, personal, queries, quoted, same_look, spans, subjects
 
 MAIL = "email_id string, thread_id string, thread_pos int, topic string, `from` string, subject string, body string, line_no int"
 TOKENIZER = f"{bpe.TOKENIZERS}/{bpe.NAME}"
@@ -224,6 +224,15 @@ def test_mix_shares_and_shortfalls(spark):
 # ---- 9 look-alikes
 
 
+def test_shortfalls_come_from_the_drawn_mix(spark, monkeypatch):
+    drawn, calls = mixing.drawn, []
+    monkeypatch.setattr(mixing, "drawn", lambda *a: calls.append(a) or drawn(*a))
+    d = "/root/testdata/sf0.001"
+    got = rows(queries.p8_found(spark, d), "mix_id", "source")
+    exact = mixing.report(queries._sized(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet")).where("short")
+    assert calls and got and got == rows(exact, "mix_id", "source")
+
+
 def test_one_form(spark):
     same = ["caf\u00e9 of\ufb01ce - A1", "cafe\u0301 o\ufb03ce \u2010 A1", "\uff43af\u00e9\u00a0office\u2009\uff0d \u0391\uff11", "c\u0430f\u00e9 \u200boff\u00adice - A1", "caf\u00e9 o\ufb00ice\u3000\u2011 A1", "c\u0430f\u0435\u0301 office - A1"]
     other = ["cafe office - A1", "Caf\u00e9 office - A1", "caf\u00e9 office - A2", "caf\u00e9\noffice - A1", "caf\u00e9 offices - A1"]
