@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions import text as X
-from lettermill.operators import graph, quota_sample, search, session
+from lettermill.operators import graph, search, session
 from lettermill.plans.text_plans import mails
 from lettermill.plans.text_sql import MAILS, q, tokens
 from lettermill.session import bounded, table
@@ -181,7 +181,7 @@ def two_key_anti(spark, sf_dir):
 
 @query(f"WITH n AS (SELECT {NORM.format('topic')} AS topic FROM mailbox WHERE topic IS NOT NULL) SELECT topic, count(*) AS n FROM n WHERE topic NOT IN ('other', '?') GROUP BY 1 HAVING count(*) >= 40")
 def topic_floor(spark, sf_dir):
-    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(quota_sample.label_key("topic").alias("topic"))
+    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(X.label_key("topic").alias("topic"))
     return m.where(~F.col("topic").isin("other", "?")).groupBy("topic").agg(F.count("*").alias("n")).where("n >= 40")
 
 
@@ -191,7 +191,7 @@ _QUOTA = f"WITH n AS (SELECT {NORM.format('topic')} AS topic FROM mailbox WHERE
 @query(_QUOTA + " SELECT topic, pool, 500 // k + CASE WHEN r <= 500 % k THEN 1 ELSE 0 END AS quota FROM r")
 def quota_alloc(spark, sf_dir):
     """500 places over the topics, the rest to the deepest pools; the pools are one row a topic."""
-    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(quota_sample.label_key("topic").alias("topic")).where(~F.col("topic").isin("other", "?"))
+    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(X.label_key("topic").alias("topic")).where(~F.col("topic").isin("other", "?"))
     p = m.groupBy("topic").agg(F.count("*").alias("pool"))
     r = p.withColumn("r", F.row_number().over(Window.orderBy(F.desc("pool"), "topic"))).crossJoin(p.agg(F.count("*").alias("k")))
     return r.select("topic", "pool", (F.floor(F.lit(500) / F.col("k")) + (F.col("r") <= F.lit(500) % F.col("k")).cast("long")).alias("quota"))
@@ -232,7 +232,7 @@ _PAIRS = f"SELECT l.email_id, min(l.topic) AS new, min({NORM.format('m.topic')})
 
 def _label_pairs(spark, sf_dir):
     l = table(spark, sf_dir, "topic_labels").where("topic <> '?'").select("email_id", F.col("topic").alias("new"))
-    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select("email_id", quota_sample.label_key("topic").alias("old"))
+    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select("email_id", X.label_key("topic").alias("old"))
     return l.join(m, "email_id").groupBy("email_id").agg(F.min("new").alias("new"), F.min("old").alias("old"))
 
 
@@ -413,7 +413,7 @@ _RR = f"""{M}, n AS (SELECT email_id, "from" AS s, {NORM.format('topic')} AS top
 @query(f"{_RR}, o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY rn, md5('7:' || s), s) AS k FROM r WHERE rn <= 3) SELECT topic, email_id, k FROM o WHERE k <= 20")
 def round_robin(spark, sf_dir):
     """One mail a sender and round, at most three a sender, twenty a topic."""
-    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("email_id", F.col("from").alias("s"), quota_sample.label_key("topic").alias("topic"))
+    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("email_id", F.col("from").alias("s"), X.label_key("topic").alias("topic"))
     rn = F.row_number().over(Window.partitionBy("topic", "s").orderBy(_md5(F.lit("7"), "email_id"), "email_id"))
     r = m.withColumn("rn", rn).where("rn <= 3")
     k = F.row_number().over(Window.partitionBy("topic").orderBy("rn", _md5(F.lit("7"), "s"), "s")).cast("long")
@@ -422,7 +422,7 @@ def round_robin(spark, sf_dir):
 
 @query(f"{M}, n AS (SELECT thread_id, {NORM.format('topic')} AS topic FROM mails WHERE topic IS NOT NULL) SELECT thread_id, count(DISTINCT topic) AS topics, count(*) AS n, count(DISTINCT topic) > 1 AS mixed FROM n GROUP BY 1")
 def subthread_split(spark, sf_dir):
-    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("thread_id", quota_sample.label_key("topic").alias("topic"))
+    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("thread_id", X.label_key("topic").alias("topic"))
     g = m.groupBy("thread_id").agg(F.count_distinct("topic").alias("topics"), F.count("*").alias("n"))
     return g.withColumn("mixed", F.col("topics") > 1)
 
@@ -488,7 +488,7 @@ def paired_controls(spark, sf_dir):
 
 @query(f"{_RR} SELECT topic, email_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY email_id) AS k FROM n) WHERE k <= 5")
 def per_group_first_n(spark, sf_dir):
-    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("email_id", quota_sample.label_key("topic").alias("topic"))
+    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("email_id", X.label_key("topic").alias("topic"))
     return m.withColumn("k", F.row_number().over(Window.partitionBy("topic").orderBy("email_id"))).where("k <= 5").select("topic", "email_id")
 
 

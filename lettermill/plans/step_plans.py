@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions import text as X
-from lettermill.operators import engines, fill, layout, pseudonyms, quota_sample
+from lettermill.operators import engines, fill, layout, pseudonyms
 from lettermill.plans.text_plans import mails
 from lettermill.plans.text_sql import MAILS
 from lettermill.session import table
@@ -39,7 +39,7 @@ def parse_mail(spark, sf_dir):
 
 
 def _units(spark, sf_dir):
-    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("thread_id", "email_id", F.col("from").alias("sender"), quota_sample.label_key("topic").alias("topic"))
+    m = mails(spark, sf_dir).where("topic IS NOT NULL").select("thread_id", "email_id", F.col("from").alias("sender"), X.label_key("topic").alias("topic"))
     return m.groupBy("topic", "thread_id").agg(F.min_by("sender", "email_id").alias("sender"), F.count("*").cast("int").alias("n"))
 
 
