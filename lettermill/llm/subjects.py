@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.operators.quota_sample import label_key
+from lettermill.functions.text import label_key
 from lettermill.session import cut, spread
 
 DIM = 24
