@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lettermill.plans import core_plans, step_plans, text_plans, text_sql, training
+from lettermill.plans import core_plans, step_plans, text_plans, text_sql
 
-CATALOGS = [(training.QUERIES, training.SQL), (text_plans.QUERIES, text_sql.SQL), (core_plans.QUERIES, core_plans.SQL), (step_plans.QUERIES, step_plans.SQL)]
+CATALOGS = [(text_plans.QUERIES, text_sql.SQL), (core_plans.QUERIES, core_plans.SQL), (step_plans.QUERIES, step_plans.SQL)]
 
 
 def queries() -> dict:

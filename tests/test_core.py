@@ -1,6 +1,5 @@
 """Decision logic on small tables with known answers, and the invariants of the draws."""
 
-import math
 import random
 
 import pytest
@@ -8,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
-from lettermill.operators import engines, fill, graph, layout, metric_join, name_link, pseudonyms, quota_sample, search, session, tensor_banding
+from lettermill.operators import engines, fill, graph, layout, pseudonyms, search, session
 from lettermill.sources import archive, files
 
 MAIL = "email_id string, thread_id string, topic string, subject string, body string, `from` string"
@@ -104,27 +103,7 @@ def test_credit_against_a_plain_fold(spark):
         assert got[s] == len(kept)
 
 
-# ---- quota samples
-
-
-def _draw(spark, pool_rows, alloc, floor=1):
-    pool = quota_sample.categorised(spark.createDataFrame(pool_rows, "email_id string, topic string"), spark.createDataFrame([("law",), ("food and drink",), ("other",)], "topic string"), "email_id", "topic", "topic")
-    m = spark.createDataFrame([(1, alloc, floor, 7)], "draw_id int, alloc map<string,long>, min_per_topic long, seed long")
-    asked = quota_sample.requests(m)
-    return quota_sample.draw(pool, asked), quota_sample.report(pool, asked, quota_sample.draw(pool, asked))
-
-
-def test_sample_meets_targets_and_reports(spark):
-    pool = [(f"a{i}", " LAW ") for i in range(300)] + [(f"b{i}", "food_&_drink") for i in range(3)] + [("a0", "law"), (None, "law"), ("z", None), ("y", "nonsense")]
-    drawn, report = _draw(spark, pool, {"law": 40, "food and drink": 5, "other": 0}, floor=2)
-    assert {r.topic: r.n for r in drawn.groupBy("topic").agg(F.count("*").alias("n")).collect()} == {"law": 40, "food and drink": 3}
-    assert drawn.select("id").distinct().count() == 43
-    assert rows(report, "topic", "target", "available", "drawn", "met") == [("food and drink", 5, 3, 3, False), ("law", 40, 300, 40, True), ("other", 2, 0, 0, False)]
-
-
-def test_sample_of_an_empty_pool(spark):
-    drawn, report = _draw(spark, [], {"law": 2})
-    assert drawn.count() == 0 and rows(report, "topic", "met") == [("law", False)]
+# ---- fills
 
 
 def test_jitter_keeps_the_total():
@@ -139,97 +118,6 @@ def test_whole_threads_never_split(spark):
     assert got.agg(F.sum("n")).first()[0] == 25 and got.count() == got.select("thread_id").distinct().count()
 
 
-# ---- near duplicates
-
-
-def _pairs(mails):
-    sets = {}
-    for e, t, s, b in mails:
-        w = tensor_banding.WORD.findall(((s or "") + " " + (b or "")).lower())
-        if e is not None and len(w) >= 40:
-            sets[e] = (t, set(zip(w, w[1:], w[2:])))
-    return sorted((a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0] and 2 * len(sets[a][1] & sets[b][1]) >= len(sets[a][1] | sets[b][1]))
-
-
-def test_near_duplicates_against_brute_force(spark):
-    rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(400)]
-    mails = []
-    for i in range(40):
-        base = rng.choices(vocab, k=90)
-        mails.append((f"m{i:03}a", f"t{i}", "subject", " ".join(base)))
-        for k in range(rng.randint(0, 3)):
-            words = list(base)
-            for _ in range(rng.randint(0, 12)):
-                words[rng.randrange(90)] = rng.choice(vocab)
-            mails.append((f"m{i:03}{'bcd'[k]}", f"t{rng.choice([i, i + 100 + k])}", None, "Subject, " + " ".join(words)))
-    mails += [("e1", "x1", None, None), ("e2", "x2", "", ""), (None, "x3", "s", "b " * 60), mails[0], ("short1", "y1", "", "a b c"), ("short2", "y2", "", "a b c")]
-    df = spark.createDataFrame([(*m, "extra") for m in mails], "email_id string, thread_id string, subject string, body string, id string")
-    got = rows(tensor_banding.alike(df, "email_id", "thread_id"), "id_a", "id_b")
-    want = _pairs(mails)
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 5
-
-
-def test_sketches_lose_next_to_no_pair_at_the_threshold():
-    """Of pairs of similarity 0.5, whose one-bit sketches differ in a quarter of their bits, less than one in 500 fails either sketch test."""
-    over = lambda n, most: sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(most + 1, n + 1))
-    assert over(64, tensor_banding.NEAR_64) < 0.002 and over(128, tensor_banding.NEAR_128) < 0.002
-
-
-def test_copies_in_other_threads_pair_and_empty_tables(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    df = spark.createDataFrame([("a", "t1", "s", text), ("b", "t2", "s", text), ("c", "t1", "s", text), ("d", None, "s", text)], "email_id string, thread_id string, subject string, body string")
-    assert rows(tensor_banding.alike(df, "email_id", "thread_id"), "id_a", "id_b") == [("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
-    assert tensor_banding.alike(df.limit(0), "email_id", "thread_id").count() == 0
-
-
-# ---- names
-
-
-def test_radius_join_against_brute_force(spark):
-    rng = random.Random(2)
-    words = ["".join(rng.choices("abcd", k=rng.randint(3, 7))) for _ in range(150)]
-
-    def dist(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
-
-    left, right = words[:80] + [None], words[60:]
-    df = lambda ws: spark.createDataFrame([(w,) for w in ws], "key string")
-    got = rows(metric_join.radius_join(df(left), df(right), 2, pivots=5), "l", "r", "dist")
-    want = sorted({(a, b, dist(a, b)) for a in left if a for b in right if dist(a, b) <= 2})
-    assert got == want
-    assert metric_join.radius_join(df(left), df([]), 2).count() == 0
-
-
-def test_spellings_of_people_and_firms(spark):
-    ann = ["margaret.raldpuwant@calderongas.example", "Margaret Raldpuwant", "Raldpuwant, Peggy", "Margaret L. Raldpuwant", "M. Raldpuwant", "Maragret Raldpuwant", "MARGARET RALDPUWANT/CGS/CALDERONGAS", "mraldpuwant@calderongas.example", "raldpuwant.margaret@calderongas.example", '"Raldpuwant, Margaret" <margaret.raldpuwant@calderongas.example>']
-    bob = ["robert.yestdiokafu@ostlerpike.example", "Bob Yestdiokafu", "Yestdiokafu R."]
-    org = ["notices@gulvfuoux.example", "Gulvfuoux Regional Hospital, Inc.", "The Gulvfuoux Reg. Hosp. Incorporated", "Gulvfuuox Regional Hospital", "Regional Hospital Co (Gulvfuoux)"]
-    others = ["thomas.yestdiokafu@norvane.example", "susan.eltfiokafu@tessel.example", None, "", "?"]
-    df = spark.createDataFrame([(x,) for x in ann + bob + org + others + ann[:2]], "spelling string")
-    groups = {}
-    for r in name_link.entities(df).collect():
-        groups.setdefault(r.entity, set()).add(r.spelling)
-    by = {frozenset(g) for g in groups.values()}
-    assert {frozenset(ann), frozenset(bob), frozenset(org)} <= by
-    pairs = name_link.variant_pairs(df)
-    assert pairs.count() == 45 + 3 + 10 and pairs.where("a >= b").count() == 0
-
-
-def test_firms_of_another_trade_stay_apart(spark):
-    df = spark.createDataFrame([(x,) for x in ("Nabloland Valley Power Inc", "Nabloland Vly Pwr", "Abnoland Manufacturing Limited", "Manufacturing Ltd (Abnoland)", "Abnolnad Mfg")], "spelling string")
-    assert rows(name_link.variant_pairs(df), "a", "b") == [("Abnoland Manufacturing Limited", "Abnolnad Mfg"), ("Abnoland Manufacturing Limited", "Manufacturing Ltd (Abnoland)"), ("Abnolnad Mfg", "Manufacturing Ltd (Abnoland)"), ("Nabloland Valley Power Inc", "Nabloland Vly Pwr")]
-
-
-def test_no_names_at_all(spark):
-    assert name_link.variant_pairs(spark.createDataFrame([], "spelling string")).count() == 0
-
-
 # ---- pseudonyms
 
 
