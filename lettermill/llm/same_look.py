@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.session import spread
+from lettermill.llm.classes import expanded
+from lettermill.session import cut, merged, spread
 
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKES = {
@@ -128,13 +129,14 @@ def with_form(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 def same_look_pairs(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(a, b): keys of two rows whose texts share one form and differ in a character; the smaller key first.
 
-    Rows meet by a 128-bit digest of the form.  Exact copies share a digest of the raw text as well and are kept as members of one
-    spelling; only forms with two spellings or more are joined, spelling by spelling.
+    Rows meet by 128-bit digests.  Exact copies share the digest of the raw text and are members of one spelling; spellings that share a form are joined, never
+    members, and linked spellings go back to keys in blocks. The forms are made once and written.
     """
     formed = with_form(docs.where(F.col(key).isNotNull()), [key], text)
-    rows = formed.where(F.col("form").rlike(r"(?U)\S")).select(F.col(key).alias("k"), F.md5("form").alias("f"), F.md5("text").alias("r")).distinct()
-    spellings = rows.select("f", "r").distinct()
-    several = spellings.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    members = rows.join(several, "f")
-    a, b = members.toDF("f", "a", "ra"), members.toDF("f", "b", "rb")
-    return a.join(b, "f").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    digest = lambda c: F.unhex(F.md5(c))
+    rows = cut(formed.where(F.col("form").rlike(r"(?U)\S")).select(F.col(key).alias("id"), digest("form").alias("f"), digest("text").alias("cls")), "forms")
+    spellings = rows.select("f", "cls").distinct()
+    several = merged(spellings.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
+    varied = merged(spellings.join(several, "f"))
+    links = cut(varied.toDF("f", "a").join(varied.toDF("f", "b"), "f").where("a < b").select("a", "b"), "spellings")
+    return expanded(links, rows.select("cls", "id")).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct()

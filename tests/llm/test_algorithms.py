@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lettermill.llm import metric_join, name_link, quota_sample, tensor_banding
+from lettermill.llm import classes, metric_join, name_link, quota_sample, tensor_banding
 
 
 def rows(df, *cols):
@@ -82,8 +82,8 @@ def test_copies_in_other_threads_pair_and_empty_tables(spark):
 def test_growing_sides_are_never_broadcast(spark):
     """The optimiser takes a table of keys for small, as it does not count ``explode``; the joins are hinted."""
     df = spark.createDataFrame([("a", "t1", "s", " ".join(f"w{i}" for i in range(50)))], "email_id string, thread_id string, subject string, body string")
-    _, classes = tensor_banding._classes(df.select(F.col("email_id").alias("id"), F.col("thread_id").alias("grp"), F.col("body").alias("text")))
-    for plan in (tensor_banding.met(classes, 0.5), tensor_banding.alike(df, "email_id", "thread_id")):
+    _, cls = tensor_banding._classes(df.select(F.col("email_id").alias("id"), F.col("thread_id").alias("grp"), F.col("body").alias("text")))
+    for plan in (tensor_banding.met(cls, 0.5), tensor_banding.alike(df, "email_id", "thread_id")):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
@@ -100,7 +100,7 @@ def test_one_text_in_a_third_of_the_rows(spark):
 
 
 def test_blocks_of_a_class_give_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(tensor_banding, "BLOCK", 4)
+    monkeypatch.setattr(classes, "BLOCK", 4)
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(f"e{i:02}", f"t{i // 2}", "s", text + (" x" if i % 3 else "")) for i in range(30)] + [("e00", "t0", "s", text)], "email_id string, thread_id string, subject string, body string")
     want = sorted((f"e{a:02}", f"e{b:02}") for a in range(30) for b in range(a + 1, 30) if a // 2 != b // 2)

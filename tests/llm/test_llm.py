@@ -242,6 +242,17 @@ def test_one_form(spark):
     assert got == [(a, b) for a in ids for b in ids if a < b and (a, b) != (0, 50)]
 
 
+def test_many_copies_and_one_variant(spark, monkeypatch):
+    """Copies are members of one spelling: 100,000 of them and one variant are one linked pair of spellings and 100,000 rows, made in one pass of forms."""
+    calls = []
+    made = same_look.with_form
+    monkeypatch.setattr(same_look, "with_form", lambda *a: calls.append(1) or made(*a))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")).union(spark.createDataFrame([(100_000, "same\u00a0text")], "doc_id long, text string"))
+    got = same_look.same_look_pairs(docs, "doc_id")
+    assert got.count() == 100_000 and got.where("b <> 100000").count() == 0 and len(calls) == 1
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_form_against_plain_python(spark):
     """The embedded SQL agrees with the same mapping done letter by letter."""
     import unicodedata
