@@ -68,27 +68,25 @@ def _plain(line: str, i: int, lines: list[str]) -> str:
             return "x"
         if RULE.match(line):
             return "r"
-    n = len(line)
-    if n <= 200:
-        if c == "B" and SEPARATOR.match(line):
-            return "s"
-        last = line.rstrip()[-1]
-        if last == ":":
-            if UNMARKED.match(line):
-                return "u"
-            if ATTRIBUTION.match(line) or c == "<" and REST.match(line):
-                return "a"
-        elif last.isdigit() and ATTRIBUTION.match(line):
-            return "a"
-        if HEADER.match(line):
-            return "h"
-        if c in "OALEI" and last not in ":.?!" and HALF.match(line):
-            return "m"
-        if last.isupper() and "@" in line and NODE.match(line) and i + 1 < len(lines) and CLOCK.match(lines[i + 1]):
-            return "n"
-        if c.isupper() and n <= 60 and UNMARKED.match(line):
+    last = line.rstrip()[-1]
+    if c == "B" and SEPARATOR.match(line):
+        return "s"
+    if last == ":":
+        if UNMARKED.match(line):
             return "u"
-    if n <= 60 and last not in ".?!;":
+        if ATTRIBUTION.match(line) or c == "<" and REST.match(line):
+            return "a"
+    elif last.isdigit() and ATTRIBUTION.match(line):
+        return "a"
+    if HEADER.match(line):
+        return "h"
+    if c in "OALEI" and last not in ":.?!" and HALF.match(line):
+        return "m"
+    if last.isupper() and "@" in line and NODE.match(line) and i + 1 < len(lines) and CLOCK.match(lines[i + 1]):
+        return "n"
+    if c.isupper() and UNMARKED.match(line):
+        return "u"
+    if last not in ".?!;":
         if CONTACT.match(line):
             return "i"
         if FULL_NAME.match(line):
@@ -97,13 +95,12 @@ def _plain(line: str, i: int, lines: list[str]) -> str:
             return "c"
         if GREETING.match(line):
             return "g"
-    if n <= 400:
-        words = {m.lower() for m in NOTICE.findall(line)}
-        if len(words) > 1 or n <= 100 and DEVICE.match(line):
-            return "k"
-        if words:
-            return "w"
-    return "l" if n <= 60 and last == ":" and " " in line else "o"
+    words = {m.lower() for m in NOTICE.findall(line)}
+    if len(words) > 1 or DEVICE.match(line):
+        return "k"
+    if words:
+        return "w"
+    return "l" if last == ":" and " " in line else "o"
 
 
 def codes(lines: list[str]) -> str:
@@ -210,7 +207,7 @@ def _quoted(code: str, hit: list[int], boiler: list[bool]) -> tuple[list[bool],
             j = i
             while j < n and code[j] == "h":
                 j += 1
-            if j - i >= 3 or (j - i == 2 and any(hit[j : j + 12])):
+            if j - i >= 3 or (j - i == 2 and any(hit[j:])):
                 end = i
                 break
             i = j
@@ -249,19 +246,27 @@ def _quoted(code: str, hit: list[int], boiler: list[bool]) -> tuple[list[bool],
         if boiler[x] and code[x] == "o" and code[x - 1] == "b" and code[x + 1] not in "birdxfFkwc" and not gone[x]:
             end = x
             break
-    # evidence in unmarked lines: back to the short line above that leads over to it, else the lines themselves
+    # evidence in unmarked lines: a run of inherited lines that holds a long sentence; a short line that leads over to it opens a quote to the end
     x = 0
     while x < end:
-        if hit[x] > 1 and code[x] == "o" and not gone[x]:
-            y, seen = x - 1, 0
-            while y >= 0 and seen < 7 and not gone[y] and not (lead[y] and (y == 0 or code[y - 1] == "b")):
-                seen += code[y] != "b"
-                y -= 1
-            if y >= 0 and seen < 7 and not gone[y] and lead[y]:
-                end = y
+        if not hit[x] or gone[x] or code[x] == "b":
+            x += 1
+            continue
+        y, top, stop = x, hit[x], x + 1
+        while y < end and not gone[y] and (hit[y] or code[y] == "b"):
+            if hit[y]:
+                top, stop = max(top, hit[y]), y + 1
+            y += 1
+        if top > 1:
+            z = x - 1
+            while z >= 0 and code[z] == "b":
+                z -= 1
+            if z >= 0 and lead[z] and not gone[z] and (z == 0 or code[z - 1] == "b"):
+                end = z
                 break
-            gone[x] = True
-        x += 1
+            for w in range(x, stop):
+                gone[w] = code[w] != "b"
+        x = max(stop, x + 1)
     for x in range(end, n):
         gone[x] = True
     return gone, end
