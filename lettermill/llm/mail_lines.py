@@ -35,9 +35,13 @@ FULL_NAME = re.compile(r"(?:\| )?(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?[A-Z][a-zà-ÿ'-]
 NOTICE = re.compile(
     r"confidential|vertraulich|confidentiel|privileged|addressee|intended recipient|lawful purposes|named in it|accepts no liability|for viruses|tell the sender|"
     r"reached you (?:by mistake|in error)|no contract is formed|opinions are those|empfänger|before printing|consider the environment|unsubscribe|"
-    r"delete (?:it|this)\b|disclaimer|löschen sie|destinataire|monitors mail|notify the sender|is prohibited|attachments",
-    re.I,
+    r"delete (?:it|this)\b|disclaimer|löschen sie|destinataire|monitors mail|notify the sender|is prohibited|attachments"
 )
+#: a plain part of each alternative of NOTICE, to look for first
+NOTICE_PARTS = (
+    "confiden", "vertraulich", "privileged", "addressee", "intended recip", "lawful", "named in it", "accepts no", "for viruses", "the sender", "reached you", "no contract", "opinions are",
+    "empfänger", "before printing", "the environment", "unsubscribe", "delete ", "disclaimer", "löschen sie", "destinataire", "monitors mail", "is prohibited", "attachments",
+)
 DEVICE = re.compile(r"(?:Sent (?:from|via|by) (?:my|a|an|the) .{2,60}|Get the .{2,40}(?:app|mail) for .{2,40}|Envoyé de mon .{2,40}|Gesendet von meinem .{2,40}|Enviado desde mi .{2,40}|Please think of the trees.*|Please consider the environment.*)$", re.I)
 CLOSING = re.compile(r"(?:thanks|thx|thank you|many thanks|best|kind|warm|regards|cheers|take care|sincerely|yours|all the best|with|talk soon|viele|mit|cordialement|saludos)\b.{0,40}$", re.I)
 GREETING = re.compile(r"(?:(?i:hi|hey|hello|dear|good morning|good afternoon)\b.{0,40}|[A-Z][a-zà-ÿ'-]+)\s*[,:!-]?\s*$")
@@ -95,7 +99,8 @@ def _plain(line: str, i: int, lines: list[str]) -> str:
             return "c"
         if GREETING.match(line):
             return "g"
-    words = {m.lower() for m in NOTICE.findall(line)}
+    low = line.lower()
+    words = set(NOTICE.findall(low)) if any(map(low.__contains__, NOTICE_PARTS)) else ()
     if len(words) > 1 or DEVICE.match(line):
         return "k"
     if words:

@@ -8,7 +8,7 @@ same sentences).  Three kinds of evidence then come from all mails:
   sentences is at most ``EDIT`` of the longer one; shorter sentences (greetings, closings, names) count only in one run with longer ones of the same earlier mail;
 * a long sentence is inherited from outside the thread when its first mail by date lies in another thread, has an earlier date and another sender; such sentences
   count only where they run without a break, from the first words of that mail, below words of the sender's own and above no signature;
-* a line is boilerplate when several mails, of the same sender or of others, carry its fingerprint in their tail, and the sender does not mostly elsewhere.
+* a line is boilerplate when the tails of several mails, of the same sender or of others, carry its fingerprint.
 
 The evidence takes lines out by itself; the codes bound the regions (separators, headers, marks, which have no earlier copy) and decide alone only
 where a passed-on mail has no earlier copy in the table or a signature stands in a single mail of its sender.
@@ -36,10 +36,9 @@ LEAST_WORDS = 5  # words of a sentence that is evidence by itself
 STRONG = 10  # words of a sentence that is evidence without any mark around it
 EDIT = 0.15
 NEAR = 6  # most differing bits of a candidate; eight tables find all up to seven
-TAIL_SHARE = 0.3  # least share of a boilerplate line's places that are tails
 WORD = re.compile(r"[a-z0-9]+")
 _VOCAB = 300_000
-SCHEMA = "email_id string, thread_id string, pos int, day int, who long, code string, first array<int>, last array<int>, size array<int>, sim array<long>, same array<long>, line array<int>, line_sim array<long>, tail_from int"
+SCHEMA = "email_id string, thread_id string, pos int, day int, who long, code string, first array<int>, last array<int>, size array<int>, sim array<long>, same array<long>, line array<int>, line_sim array<long>"
 
 
 class _Words(dict):
@@ -99,7 +98,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = whole.slice(lo, 1024)
             get = prints.words.__getitem__
             codes, first, last, n_sent, flat, sizes = [], [], [], [], [], []
-            line, n_line, l_flat, l_sizes, tail = [], [], [], [], []
+            line, n_line, l_flat, l_sizes = [], [], [], []
             for sender, body in zip(part.column("sender").to_pylist(), part.column("body").to_pylist()):
                 lines = ml.split_lines(body)
                 code = ml.sender_marks(lines, ml.codes(lines), sender or "")
@@ -113,14 +112,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         last.append(b)
                         k += 1
                 n_sent.append(k)
-                # lines ahead of the first quote: those of the tail may be boilerplate, the same lines elsewhere speak against it
+                # lines from the first closing or signature on, ahead of the first quote, may be boilerplate
                 k, t = 0, len(lines)
                 for i, c in enumerate(code):
                     if c in "sunaq":
                         break
-                    if c in "cdxFfrk" and i < t:
+                    if i < t:
+                        if c not in "cdxFfrk":
+                            continue
                         t = i
-                    if c == "b" or t == len(lines) and c not in "ol":
+                    if c == "b":
                         continue
                     w = WORD.findall(lines[i].lower()) or [lines[i].strip()[:8]]
                     l_flat.extend(map(get, w))
@@ -129,14 +130,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k += 1
                 n_line.append(k)
                 codes.append(code)
-                tail.append(t)
             both = prints(flat + l_flat, sizes + l_sizes)
             sim, same = both[0][: len(sizes)], both[1][: len(sizes)]
             l_sim, l_same = both[0][len(sizes) :], both[1][len(sizes) :]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(x) for x in ("email_id", "thread_id", "pos", "day", "who")), pa.array(codes, pa.string()), _lists(np.array(first, np.int32), n_sent, pa.int32()), _lists(np.array(last, np.int32), n_sent, pa.int32()), _lists(np.array(sizes, np.int32), n_sent, pa.int32()), _lists(sim, n_sent, pa.int64()), _lists(same, n_sent, pa.int64()),
-                 _lists(np.array(line, np.int32), n_line, pa.int32()), _lists(l_sim ^ l_same, n_line, pa.int64()), pa.array(tail, pa.int32())],
-                names=["email_id", "thread_id", "pos", "day", "who", "code", "first", "last", "size", "sim", "same", "line", "line_sim", "tail_from"],
+                 _lists(np.array(line, np.int32), n_line, pa.int32()), _lists(l_sim ^ l_same, n_line, pa.int64())],
+                names=["email_id", "thread_id", "pos", "day", "who", "code", "first", "last", "size", "sim", "same", "line", "line_sim"],
             )
 
 
@@ -304,14 +304,10 @@ def _texts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def boilerplate(mails: DataFrame) -> DataFrame:
-    """(email_id, x): lines, by number, whose fingerprint several mails carry in their tail and the sender not mostly elsewhere."""
-    lines = mails.where("who IS NOT NULL").select("email_id", "who", "tail_from", F.explode(F.arrays_zip("line", "line_sim")).alias("z")).select("email_id", "who", F.col("z.line").alias("x"), F.col("z.line_sim").alias("sim"), (F.col("z.line") >= F.col("tail_from")).cast("int").alias("tail"))
-    tail_mail = F.when(F.col("tail") == 1, F.col("email_id"))
-    per = lines.groupBy("who", "sim").agg(F.sum("tail").alias("t"), F.count("*").alias("n"), F.min(tail_mail).alias("m0"), F.max(tail_mail).alias("m1"))
-    # notices and signatures that a second sender carries as well
-    shared = per.groupBy("sim").agg(F.sum("t").alias("ta"), F.sum("n").alias("na"), F.min("m0").alias("a0"), F.max("m1").alias("a1"))
-    common = per.join(merged(shared), "sim").where(f"(m0 < m1 AND t >= {TAIL_SHARE} * n) OR (a0 < a1 AND ta >= {TAIL_SHARE} * na AND t >= {TAIL_SHARE} * n)").select("who", "sim")
-    return lines.join(merged(common), ["who", "sim"]).select("email_id", "x")
+    """(email_id, x): lines of the tail, by number, that the tails of several mails of the sender carry, or the tails of several senders."""
+    lines = mails.select("email_id", F.coalesce("who", F.xxhash64("email_id")).alias("who"), F.explode(F.arrays_zip("line", "line_sim")).alias("z")).select(F.xxhash64("email_id").alias("m"), "email_id", "who", F.col("z.line").alias("x"), F.col("z.line_sim").alias("sim"))
+    common = lines.groupBy("sim").agg(F.min("m").alias("m0"), F.max("m").alias("m1")).where("m0 < m1").select("sim")
+    return lines.join(merged(common), "sim").select("email_id", "x")
 
 
 def lines_to_remove(mailbox: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def test_passage_of_another_thread_without_marks(spark):
     text = "The kiln was cleaned on Friday by the two new men from the yard. Every shelf of the long rack holds forty blue tiles from the second firing. Nobody counted the tiles before the rain came in through the northern roof."
     df = [("a", "t1", 1, "2000-01-01", "ann.lee@x.example", text), ("b", "t2", 1, "2000-01-05", "bob.roy@x.example", "You may want to read what she sent me last week.\n\n" + text), ("c", "t3", 1, "2000-01-06", "cidro.fayette@x.example", "The kiln was never cleaned by those two new men.\n\n" + text.split(". ", 1)[1] + "\n\nBest,\nCidro\n\nCidro Fayette")]
     schema = "email_id string, thread_id string, thread_pos int, date string, `from` string, body string"
-    assert rows(quoted.lines_to_remove(spark.createDataFrame(df, schema)), "email_id", "line_no") == [("b", 3), ("c", 7)]
+    assert rows(quoted.lines_to_remove(spark.createDataFrame(df, schema)), "email_id", "line_no") == [("b", 3), ("c", 8)]
 
 
 def test_evidence_without_marks(spark):
