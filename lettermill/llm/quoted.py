@@ -140,10 +140,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _evidence(code: str, first: list[int], last: list[int], size: list[int], hits: list[tuple[int, int]], outside: dict[int, bool]) -> list[int]:
+def _evidence(code: str, first: list[int], last: list[int], size: list[int], hits: dict[int, int], outside: dict[int, bool]) -> list[int]:
     """For each line 0, 1 or 2: at least half of its words stand in inherited sentences; 2 where one of these has ``STRONG`` words or more.
 
-    ``hits`` is (sentence, position of the earlier mail), ``outside`` the sentences first seen in another thread, true where that mail begins with it.
+    ``hits`` gives a sentence the position of the earlier mail, ``outside`` the sentences first seen in another thread, true where that mail begins with it.
     """
     n = len(code)
     hit = [0] * n
@@ -216,7 +216,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, nos = [], []
         cols = [batch.column(c).to_pylist() for c in ("email_id", "code", "first", "last", "size", "hits", "outside", "boiler")]
         for email, code, first, last, size, hits, outside, boiler in zip(*cols):
-            hit, boil = _evidence(code, first, last, size, [(h["u"], h["src"]) for h in hits or ()], {h["u"]: h["head"] for h in outside or ()}), [False] * len(code)
+            hit, boil = _evidence(code, first, last, size, {h >> 32: h & 0xFFFFFFFF for h in hits or ()}, {h >> 1: bool(h & 1) for h in outside or ()}), [False] * len(code)
             for x in boiler or ():
                 boil[x] = True
             gone = ml.removed(code, hit, boil)
@@ -245,10 +245,6 @@ def inherited(mails: DataFrame, bodies: DataFrame) -> DataFrame:
     units = cut(units, "units")
     # equal sentences: the earliest place of each in its thread
     known = cut(units.groupBy("t", "same").agg(F.min(F.struct("pos", "email_id", "u", "sim", "size")).alias("e")).select("t", "same", "e.*"), "known")
-    firsts = merged(known.select("t", "same", F.col("pos").alias("src")))
-    later = units.where("pos > 1").select("t", "same", "pos", "email_id", "u").join(firsts, ["t", "same"])
-    exact = later.where("src < pos").select("email_id", "u", "src")
-
     # near ones among the first places: one set of rows, keyed with the thread, is both sides of each table
     parts = F.array(*[F.shiftrightunsigned("sim", 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
     keyed = known.where(F.col("size") >= LEAST_WORDS).select("t", "pos", "sim", "same", F.explode(parts.cast("array<int>")).alias("part"))
@@ -264,8 +260,11 @@ def inherited(mails: DataFrame, bodies: DataFrame) -> DataFrame:
     wanted = near.select(F.col("ea").alias("email_id"), F.col("ua").alias("u")).union(near.select("eb", "ub")).distinct()
     texts = merged(_texts(bodies, wanted))
     both = near.join(texts.toDF("ea", "ua", "xa"), ["ea", "ua"]).join(texts.toDF("eb", "ub", "xb"), ["eb", "ub"])
-    true = both.where(F.levenshtein("xa", "xb") <= EDIT * F.greatest(F.length("xa"), F.length("xb"))).groupBy("t", F.col("sb").alias("same")).agg(F.min("src").alias("near_src"))
-    return exact.union(later.join(merged(true), ["t", "same"]).where("near_src < pos").select("email_id", "u", "near_src")).groupBy("email_id", "u").agg(F.min("src").alias("src"))
+    true = both.where(F.levenshtein("xa", "xb") <= EDIT * F.greatest(F.length("xa"), F.length("xb"))).groupBy("t", F.col("sb").alias("same")).agg(F.min("src").alias("near"))
+    prior = known.select("t", "same", F.col("pos").alias("equal")).join(merged(true), ["t", "same"], "left")
+    later = units.where("pos > 1").select("t", "same", "pos", "email_id", "u").join(merged(prior), ["t", "same"])
+    src = F.least(F.expr("CASE WHEN equal < pos THEN equal END"), F.expr("CASE WHEN near < pos THEN near END"))
+    return later.select("email_id", "u", src.alias("src")).where("src IS NOT NULL")
 
 
 def outside(mails: DataFrame) -> DataFrame:
@@ -313,8 +312,8 @@ def boilerplate(mails: DataFrame) -> DataFrame:
 def lines_to_remove(mailbox: DataFrame) -> DataFrame:
     """(email_id, line_no): the lines of each body that its sender did not newly write."""
     mails = cut(read_mails(mailbox), "mails")
-    hits = inherited(mails, mailbox).groupBy("email_id").agg(F.collect_list(F.struct("u", "src")).alias("hits"))
-    away = outside(mails).groupBy("email_id").agg(F.collect_list(F.struct("u", "head")).alias("outside"))
+    hits = inherited(mails, mailbox).groupBy("email_id").agg(F.collect_list(F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("src"))).alias("hits"))
+    away = outside(mails).groupBy("email_id").agg(F.collect_list(F.col("u") * 2 + F.col("head").cast("int")).alias("outside"))
     boil = boilerplate(mails).groupBy("email_id").agg(F.collect_set("x").alias("boiler"))
     asked = mails.select("email_id", "code", "first", "last", "size")
     for part in (hits, away, boil):
