@@ -98,7 +98,7 @@ class Finder:
     """Decodes single texts; equal surroundings are decoded once."""
 
     def __init__(self, classes, weights: dict[str, float]):
-        self.words, self.weights = spans.Words(*classes), weights
+        self.words, self.weights = spans.Words(*classes), spans.Scores(weights)
         self.memo: dict[tuple, list[tuple[int, int, str]]] = {}
 
     def __call__(self, text: str, loose: bool = False) -> list[tuple[int, int, str]]:

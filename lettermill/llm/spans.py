@@ -23,6 +23,7 @@ EMAIL = re.compile(
     re.I,
 )
 SPELT = re.compile(r" dot |[\[(](?:at|dot)[\])]", re.I)
+AT_HOST = re.compile(r" at [\w-]+\.[a-z]", re.I)
 NUMBER = re.compile(
     r"(?<![\w.,@/#-])(?:\+?\(?\d[\d()./+-]*(?:[ \n>]{1,4}\(?\d[\d()./+-]*){0,5}(?:[ \n>]{1,4}(?:ext|x|extension)\.?[ \n>]{0,4}\d{1,6})?"
     r"|[A-Z]{1,3}[ -]?\d{6,10}|[A-Z]{2}(?: ?\d\d){3} ?[A-D])(?![\w@])"
@@ -35,17 +36,21 @@ ADDRESS = re.compile(
     rf"(?P<city>,{_S}[A-Z][\w'-]*(?:{_S}[A-Z][\w'-]*){{0,2}}?,?{_S}(?:[A-Z]{{2}}|[A-Z][a-z]+(?:{_S}[A-Z][a-z]+)?){_S}\d{{5}}(?:-\d{{4}})?)?",
     re.I,
 )
-RUN = re.compile(rf"(?<![\w@.])[A-Z](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Z]\.)*)?(?:{GAP}[A-Z](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Z]\.)*)?)*")
+_W = r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]++|[^\W\d_]|['’-](?=[^\W\d_]))*"
+RUN = re.compile(rf"[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?(?:{GAP}[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?)*")
 LOOSE = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?(?:,? [^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Za-z]\.)*)?)*")
 LOW = re.compile(r"(?<![\w@.-])(?=([a-z]{2,}(?:-[a-z]+)?)(,? )([a-z]{2,})(?![\w@-]))")
-LOW_WORD = re.compile(r"(?<![\w@.-])[a-z]{3,}(?![\w@-])")
-TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Za-z]\.)*)?")
+LOW_WORD = re.compile(r"[a-z]{2,}(?:-[a-z]+)?")  # every word that LOW can take, from its start
+TOKEN = re.compile(rf"[^\W\d_]{_W}(?:\.(?:[A-Za-z]\.)*)?")
+DIGITS = re.compile(r"\d+")
+LED = re.compile(r"(?<![A-Za-z0-9_])[A-Z]{1,3}[ -]?$")
+BOX = re.compile(r"[Pp]\.?[ ]?[Oo]\b")
 MARKS = re.compile(r"(?:\s{0,2}>|[A-Z]{2,3}> ?|\|(?= |$)|\t)*\s?")
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof"}
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv", "phd", "esq"}
 CLOSING = re.compile(r"(?:thanks|thx|thank you|many thanks|best|kind|warm|regards|cheers|take care|sincerely|yours|all the best)\b", re.I)
 GREET = re.compile(r"(?:hi|hey|hello|dear|good morning|good afternoon)\s+$", re.I)
-PLACES = re.compile(r"\d")
+SOME_NAME = frozenset("GSBU")
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 
@@ -151,17 +156,49 @@ def clusters(text: str, words: Words, loose: bool = False) -> list[Cluster]:
 def groups(text: str, words: Words, loose: bool = False) -> list[tuple[int, int, list]]:
     """(start, end, overlapping regions) in order."""
     regions: list[tuple[int, int, str, object]] = []
-    if "@" in text or SPELT.search(text):
+    if SPELT.search(text) or "@" in text and AT_HOST.search(text):
         regions += [(m.start(), m.end(), "e", m) for m in EMAIL.finditer(text)]
-    if PLACES.search(text):
-        for m in NUMBER.finditer(text):
-            if sum(c.isdigit() for c in m[0]) >= (6 if m[0][0].isalpha() else 7):
-                regions.append((m.start(), m.end(), "n", m))
-        regions += [(m.start(), m.end(), "a", m) for m in ADDRESS.finditer(text)]
+    else:
+        end, at = 0, text.find("@")
+        while at >= 0:
+            s = at
+            while s > end and (text[s - 1] in "+.-_" or text[s - 1].isalnum()):
+                s -= 1
+            if m := EMAIL.match(text, s):
+                end = m.end()
+                regions.append((s, end, "e", m))
+            at = text.find("@", max(at + 1, end))
+    digits = [m.start() for m in DIGITS.finditer(text)]
+    if digits:
+        end = 0
+        for p in digits:
+            if p < end:
+                continue
+            m = None
+            if led := LED.search(text, max(0, p - 4), p):
+                m = NUMBER.match(text, led.start())
+            if m is None:
+                q = p - (text[p - 1 : p] == "(")
+                m = NUMBER.match(text, q - (text[q - 1 : q] == "+"))
+            if m:
+                end = m.end()
+                if sum(map(str.isdigit, m[0])) >= (6 if m[0][0].isalpha() else 7):
+                    regions.append((m.start(), end, "n", m))
+        end = 0
+        for p in sorted([*digits, *(b.start() for b in BOX.finditer(text))]):
+            if p >= end and (m := ADDRESS.match(text, p)):
+                end = m.end()
+                regions.append((m.start(), end, "a", m))
     for m in (LOOSE if loose else RUN).finditer(text):
+        s, e = m.span()
+        if not loose and s and (text[s - 1] in "@._" or text[s - 1].isalnum()):
+            # a run that goes on from a word or an address: what is left of it after its first word
+            m = RUN.search(text, TOKEN.match(text, s).end(), e)
+            if not m or text[m.start() - 1] in "@._" or text[m.start() - 1].isalnum():
+                continue
         toks = [(t.start() + m.start(), t.end() + m.start()) for t in TOKEN.finditer(m[0])]
         cls = [words(text[a:b]) for a, b in toks]
-        if any(c in "GSBU" for c in cls):
+        if not SOME_NAME.isdisjoint(cls):
             regions.append((m.start(), m.end(), "r", (toks, cls)))
     # names typed in small letters: looked for only where a surname stands so
     if not loose and any(words(w) in "SB" for w in set(LOW_WORD.findall(text))):
@@ -301,16 +338,30 @@ def score(feats: tuple[str, ...], weights: dict[str, float]) -> float:
     return sum(get(f, 0.0) for f in feats)
 
 
-def decode(c: Cluster, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+class Scores(dict):
+    """features -> score; equal feature lists are summed once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, feats: tuple[str, ...]) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        v = self[feats] = score(feats, self.weights)
+        return v
+
+
+def decode(c: Cluster, weights: dict[str, float] | Scores) -> list[tuple[int, int, str]]:
     """The best set of segments that do not overlap: Viterbi over the segment borders."""
+    of = weights if isinstance(weights, Scores) else Scores(weights)
     if len(c.cands) == 1:
         s, e, k, f = c.cands[0]
-        return [(s, e, k)] if score(f, weights) > 0 else []
+        return [(s, e, k)] if of[f] > 0 else []
     borders = sorted({x for s, e, _, _ in c.cands for x in (s, e)})
     at = {b: i for i, b in enumerate(borders)}
     by_end: dict[int, list] = {}
     for s, e, k, f in c.cands:
-        w = score(f, weights)
+        w = of[f]
         if w > 0:
             by_end.setdefault(e, []).append((w, s, k))
     best, back = [0.0] * len(borders), [None] * len(borders)
