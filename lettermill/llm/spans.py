@@ -15,7 +15,7 @@ from bisect import bisect_left
 
 from lettermill.functions.nicknames import FORMAL, SHORTS
 
-BITS = 1 << 22
+BITS = 1 << 24  # size of a hashed word set: 2 MB
 GAP = r"(?:,? ?\n[>|\t ]{0,12}|,? {1,2})"
 EMAIL = re.compile(
     r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+(?<![_-])"
@@ -37,7 +37,7 @@ ADDRESS = re.compile(
     re.I,
 )
 _W = r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]++|[^\W\d_]|['’-](?=[^\W\d_]))*"
-RUN = re.compile(rf"[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?(?:{GAP}[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?)*")
+RUN = re.compile(rf"[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?(?:{GAP}(?![A-Z]{{2,3}}>)[A-Z]{_W}(?:\.(?:[A-Z]\.)*)?)*")
 LOOSE = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*\.?(?:,? [^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?:\.(?:[A-Za-z]\.)*)?)*")
 LOW = re.compile(r"(?<![\w@.-])(?=([a-z]{2,}(?:-[a-z]+)?)(,? )([a-z]{2,})(?![\w@-]))")
 LOW_WORD = re.compile(r"[a-z]{2,}(?:-[a-z]+)?")  # every word that LOW can take, from its start
@@ -59,10 +59,14 @@ def bit(word: str) -> int:
 
 
 class Words:
-    """Word classes from fixed-size hashed sets: given name, surname, ordinary word, common capitalised word."""
+    """Word classes from hashed sets, bitmaps of ``BITS`` bits: given name, surname, ordinary word, common capitalised word.
 
-    def __init__(self, given: frozenset[int], surname: frozenset[int], lower: frozenset[int], common: frozenset[int]):
+    Of the known names that ``hidden`` takes, the class is "unknown", as of a name no sender bears; the fit sees texts both ways.
+    """
+
+    def __init__(self, given: bytes, surname: bytes, lower: bytes, common: bytes, hidden: float = 0.0, salt: int = 0):
         self.sets = (given, surname, lower, common)
+        self.hidden, self.salt = int(hidden * 1000), str(salt).encode()
         self.short = {*FORMAL, *SHORTS}
         self.memo: dict[str, str] = {}
 
@@ -83,13 +87,15 @@ class Words:
         if t in SUFFIXES:
             return "X"
         given, surname, lower, common = self.sets
-        b = bit(t)
-        g, s = b in given or t in self.short, b in surname
-        if s and b in lower and not g:
+        byte, mask = bit(t) >> 3, 1 << (bit(t) & 7)
+        g, s, low = given[byte] & mask or t in self.short, surname[byte] & mask, lower[byte] & mask
+        if s and low and not g:
             return "L"
         if g or s:
+            if self.hidden and t not in self.short and zlib.crc32(self.salt + t.encode()) % 1000 < self.hidden:
+                return "U"
             return "B" if g and s else "G" if g else "S"
-        return "L" if b in lower else "C" if b in common else "U"
+        return "L" if low else "C" if common[byte] & mask else "U"
 
 
 def digits_shape(x: str) -> str:
@@ -100,22 +106,17 @@ def digits_shape(x: str) -> str:
     return "".join(out)
 
 
-#: Shapes of phones and identity numbers that need no context, by digit groups; fixed values.
-PHONE_SHAPES = re.compile(r"(?:\+?1[ .-]?)?(?:\(3\)|3)[ ./-]?3[ .-]4~?|(?:1-)?3[-./ ]3[-./ ]4~?|\+1 3 3 4~?|\+2 2 4 4~?|\+\d+ \d+ \d+ \d+E?|1-3-3-4~?")
-ID_SHAPES = re.compile(r"3-2-4|AA ?2 ?2 ?2 ?A")
 ID_WORDS = {"number", "ssn", "passport", "no", "id", "licence", "license", "social", "insurance"}
-PHONE_WORDS = {"tel", "ph", "phone", "call", "cell", "fax", "mobile", "at", "is", "number", "to"}
 
 
 class Cluster:
-    """Overlapping candidates: (start, end, kind, features)."""
+    """Overlapping candidates: (start, end, kind, features); ``whole``: addresses read to their last part and typed like one."""
 
-    __slots__ = ("cands", "silver", "skip")
+    __slots__ = ("cands", "whole")
 
     def __init__(self):
         self.cands: list[tuple[int, int, str, tuple[str, ...]]] = []
-        self.silver: list[bool] = []
-        self.skip = False
+        self.whole: dict[int, bool] = {}
 
 
 def _before(text: str, s: int) -> str:
@@ -232,65 +233,39 @@ def surroundings(text: str, s: int, e: int) -> tuple[int, int]:
 
 
 def build(text: str, group: list) -> Cluster:
+    """The candidates of one group of regions and their features."""
     c = Cluster()
-    strong: list[tuple[int, int]] = []
     for s, e, kind, m in group:
         prev = _before(text, s)
-        nxt = text[e : e + 1] or "$"
         if kind == "e":
             while e > s and text[e - 1] in ".-":
                 e -= 1
             c.cands.append((s, e, "email", ("e:shape=" + ("@" if "@" in m[0] else "spelt"), "e:prev=" + prev, "e:bias")))
-            c.silver.append(True)
-            strong.append((s, e))
         elif kind == "n":
             value = m[0]
             while value and value[-1] in "./-+( \n>":
                 value = value[:-1]
             e = s + len(value)
             shape = digits_shape(value)
-            n = sum(ch.isdigit() for ch in value)
+            n = sum(map(str.isdigit, value))
             mixed = re.search(r"\S*$", text[max(0, s - 12) : s].rstrip())[0]
             mixed = any(ch.isdigit() for ch in mixed) and any(ch.isalpha() for ch in mixed)  # a code goes on before it
-            phone = not mixed and bool(PHONE_SHAPES.fullmatch(shape)) or (shape == "10" and prev not in ID_WORDS - {"number"}) or (shape == "10" and prev == "number")
-            ident = bool(ID_SHAPES.fullmatch(shape)) or (prev in ID_WORDS or text[max(0, s - 5) : s].strip().lower() in ("no.", "ssn:")) and shape in ("9", "2-7", "A7", "A8", "A9", "AA 8", "AA8", "AA7", "A6", "AA6", "8", "AAA 8", "3 2 4")
             if prev == "." and re.search(r"\bno\.\s*$", text[max(0, s - 6) : s]):
                 prev = "no."
-                ident = ident or shape in ("AA 8", "A7", "A8", "9", "8", "AA8", "2-7")
-            for k, good in (("phone", phone and not ident), ("id_number", ident)):
+            for k in ("phone", "id_number"):
                 c.cands.append((s, e, k, (f"{k}:shape={shape}", f"{k}:prev={prev}", f"{k}:n={n}", f"{k}:mixed={mixed}", f"{k}:bias", f"{k}:{shape}|{prev in ID_WORDS or prev == 'no.'}")))
-                c.silver.append(good)
-                if good:
-                    strong.append((s, e))
         elif kind == "a":
-            ends = []
-            for part in ("street", "box", "unit", "city"):
-                if m[part]:
-                    ends.append((m.end(part), part))
+            ends = [(m.end(part), part) for part in ("street", "box", "unit", "city") if m[part]]
+            low = m[0].split(" ", 1)[-1][:1].islower()
             for x, part in ends:
                 last = x == ends[-1][0]
-                c.cands.append((s, x, "address", (f"a:upto={part}", f"a:open={'box' if m['box'] else 'street'}", f"a:more={not last}", "a:bias", f"a:caps={text[s:x].upper() == text[s:x]}", f"a:low={m[0].split(' ', 1)[-1][:1].islower()}")))
-                good = last and not m[0].split(" ", 1)[-1][:1].islower() or bool(m["box"]) and last
-                c.silver.append(good)
-                if good:
-                    strong.append((s, x))
+                c.whole[len(c.cands)] = last and (not low or bool(m["box"]))
+                c.cands.append((s, x, "address", (f"a:upto={part}", f"a:open={'box' if m['box'] else 'street'}", f"a:more={not last}", "a:bias", f"a:caps={text[s:x].upper() == text[s:x]}", f"a:low={low}")))
         else:
             _names(text, m[0], m[1], c)
-    # silver segments must not overlap: kinds with a shape of their own come before names
-    taken = [(c.cands[i][0], c.cands[i][1]) for i in range(len(c.cands)) if c.silver[i] and c.cands[i][2] != "name"]
-    best: list[int] = []
-    for i in sorted((i for i in range(len(c.cands)) if c.silver[i]), key=lambda i: (c.cands[i][2] == "name", -(c.cands[i][1] - c.cands[i][0]))):
-        a, b = c.cands[i][:2]
-        if all(b <= c.cands[j][0] or a >= c.cands[j][1] for j in best) and (c.cands[i][2] != "name" or all(b <= x or a >= y for x, y in taken)):
-            best.append(i)
-    c.silver = [i in best for i in range(len(c.cands))]
     return c
 
 
-#: Class patterns that are names by themselves; G given, S surname, B both, U unknown, I initial, T title, X suffix.
-NAME_SIG = re.compile(r"(?:T )?(?:[GB](?: I)? [SBU]|I [SB]|U(?: I)? [SB]|[SB],? [GB](?: I)?|U, [GB](?: I)?|[SB], U|[SB],? I|[SB] [GB]|G G|T [SBU],? ?[GBU]?|T [SBU], [GBU]|[SBU], [GB] I|[GB] I U)(?: X)?")
-
-
 def _names(text: str, toks: list[tuple[int, int]], cls: list[str], c: Cluster) -> None:
     n = len(toks)
     for i in range(n):
@@ -321,16 +296,9 @@ def _names(text: str, toks: list[tuple[int, int]], cls: list[str], c: Cluster) -
             long_line = across and text.index("\n", s) - start_line > 38
             prev = _before(text, s)
             nxt = text[e : e + 1] or "$"
-            single = j == i
-            good = False
-            if single:
-                good = k in "GB" and line in "wkgc" and not text[toks[i][0] : toks[j][1]].endswith(".")
-            elif NAME_SIG.fullmatch(sig):
-                good = not across or long_line
             # the next word would belong to the name
             grows = j + 1 < n and cls[j + 1] in "SBGUX" and text[toks[j][1] : toks[j + 1][0]] in (" ", "  ")
             c.cands.append((s, e, "name", (f"n:sig={sig}", f"n:sig={sig}|{line}", f"n:line={line}", f"n:prev={prev}", f"n:next={nxt if not nxt.isalnum() else 'w'}", f"n:across={across}|{long_line}", f"n:grows={grows}", f"n:len={j - i + 1}", "n:bias")))
-            c.silver.append(good)
 
 
 def score(feats: tuple[str, ...], weights: dict[str, float]) -> float:
@@ -414,19 +382,15 @@ def marginals(c: Cluster, weights: dict[str, float]) -> list[float]:
     return [math.exp(min(0.0, a[st[i]] + ws[i] + b[en[i]] - z)) for i in range(len(ws))]
 
 
-def train(texts: list[tuple[str, bool]], words: Words, epochs: int = 5, rate: float = 0.5) -> dict[str, float]:
-    """Weights by AdaGrad on the log-likelihood of the silver labellings."""
-    data = []
-    for t, loose in texts:
-        for c in clusters(t, words, loose):
-            data.append(c)
+def train(data: list[tuple[Cluster, list[bool]]], epochs: int = 5, rate: float = 0.5) -> dict[str, float]:
+    """Weights by AdaGrad on the log-likelihood of labelled clusters."""
     w: dict[str, float] = {}
     g2: dict[str, float] = {}
-    for ep in range(epochs):
-        for c in data:
+    for _ in range(epochs):
+        for c, gold in data:
             p = marginals(c, w)
-            for (s, e, k, f), gold, q in zip(c.cands, c.silver, p):
-                d = (1.0 if gold else 0.0) - q
+            for (_, _, _, f), y, q in zip(c.cands, gold, p):
+                d = (1.0 if y else 0.0) - q
                 if abs(d) < 1e-3:
                     continue
                 for x in f:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, mail_lines, mixing, personal, queries, quoted, same_look, spans, subjects
+from lettermill.llm import bpe, distant, mail_lines, mixing, personal, queries, quoted, same_look, spans, subjects
 
 MAIL = "email_id string, thread_id string, thread_pos int, topic string, `from` string, subject string, body string, line_no int"
 TOKENIZER = f"{bpe.TOKENIZERS}/{bpe.NAME}"
@@ -201,6 +201,40 @@ def test_details_are_found_exactly(spark, people_mails):
     assert not [g for g in got if g[0] in ("x2", None)]
 
 
+def _bits(*words):
+    b = bytearray(spans.BITS // 8)
+    for w in words:
+        b[spans.bit(w) >> 3] |= 1 << (spans.bit(w) & 7)
+    return bytes(b)
+
+
+def test_every_name_in_small_letters_is_a_candidate():
+    words = spans.Words(_bits("wei", "anna"), _bits("li", "smith-jones"), _bits(), _bits())
+    for text, name in (("so wei li said it", "wei li"), ("ask smith-jones, anna about it", "smith-jones, anna")):
+        assert name in [text[s:e] for c in spans.clusters(text, words) for s, e, _, _ in c.cands]
+
+
+def test_word_sets_are_the_bitmaps_of_the_aggregation(spark):
+    words = [f"w{i}" for i in range(5000)]
+    got = personal._bitmaps([spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([], "w string")])
+    assert got == (_bits(*words), _bits())
+
+
+def test_labels_come_from_the_tables_and_the_model_goes_beyond_them(spark, people_mails):
+    """The labels know registered pairs, senders of the thread and telling words only; the model also finds misspelt names and numbers without such a word."""
+    df = spark.createDataFrame(people_mails, MAIL)
+    stats, pairs = personal.word_stats(df), personal.registry_pairs(df)
+    sample = df.limit(50).select("thread_id", "subject", "body", F.col("from").alias("sender"))
+    known = personal.registry(sample, df, stats, pairs)
+    assert known.full("soren", "raldpuwant") and not known.full("soren", "raldpuwent")
+    assert known.name(["soren", "raldpuwent"], False, "t1") is None and known.name(["may"], False, "t1") is not True
+    text = "Please ask Soren Raldpuwent or Quentin Tremristien on 713-555-0177.\n\nMargaret Blankastien"
+    words = spans.Words(*personal.word_classes(stats, pairs, df.count()))
+    assert not any(True in distant.labels(text, c, None, known, {("phone", "3-3-4")}) for c in spans.clusters(text, words))
+    got = {r.value for r in personal.found(df.union(spark.createDataFrame([("x", "t1", 1, None, None, None, text, 0)], MAIL))).where("email_id = 'x'").collect()}
+    assert got == {"Soren Raldpuwent", "Quentin Tremristien", "713-555-0177", "Margaret Blankastien"}
+
+
 def test_redaction_keeps_the_rest(spark, people_mails):
     got = {r.email_id: r.body for r in personal.redacted(spark.createDataFrame(people_mails, MAIL)).collect()}
     want = re.sub(r"\b(Soren|Margaret|Abigail|Farid|Quentin)( [A-Z]\w+)?\b", "[NAME]", re.sub(r"\S+@\S+", "[EMAIL]", re.sub(r"713-555-\d{4}", "[PHONE]", re.sub(r"\d+ Birch Lane, Emberly, TX \d{5}", "[ADDRESS]", people_mails[3][6]))))
