@@ -69,6 +69,8 @@ class Words:
         self.hidden, self.salt = int(hidden * 1000), str(salt).encode()
         self.short = {*FORMAL, *SHORTS}
         self.memo: dict[str, str] = {}
+        self.runs: dict[str, tuple | None] = {}
+        self.dull: set[str] = set()
 
     def __call__(self, token: str) -> str:
         c = self.memo.get(token)
@@ -78,6 +80,29 @@ class Words:
             c = self.memo[token] = self._of(token)
         return c
 
+    def run(self, text: str) -> tuple[list[tuple[int, int]], list[str]] | None:
+        """Token borders and classes of a run of words; None where no token may be of a name."""
+        try:
+            return self.runs[text]
+        except KeyError:
+            pass
+        if len(self.runs) > 200_000:
+            self.runs.clear()
+        toks = [t.span() for t in TOKEN.finditer(text)]
+        cls = [self(text[a:b]) for a, b in toks]
+        got = self.runs[text] = None if SOME_NAME.isdisjoint(cls) else (toks, cls)
+        return got
+
+    def holds_surname(self, tokens: set[str]) -> bool:
+        """May one of the words be a surname?"""
+        for w in tokens - self.dull:
+            if self(w) in "SB":
+                return True
+            if len(self.dull) > 300_000:
+                self.dull.clear()
+            self.dull.add(w)
+        return False
+
     def _of(self, token: str) -> str:
         t = token.rstrip(".").lower()
         if len(t) == 1 and token[0].isalpha() or "." in t:
@@ -197,12 +222,11 @@ def groups(text: str, words: Words, loose: bool = False) -> list[tuple[int, int,
             m = RUN.search(text, TOKEN.match(text, s).end(), e)
             if not m or text[m.start() - 1] in "@._" or text[m.start() - 1].isalnum():
                 continue
-        toks = [(t.start() + m.start(), t.end() + m.start()) for t in TOKEN.finditer(m[0])]
-        cls = [words(text[a:b]) for a, b in toks]
-        if not SOME_NAME.isdisjoint(cls):
-            regions.append((m.start(), m.end(), "r", (toks, cls)))
+        if read := words.run(m[0]):
+            s = m.start()
+            regions.append((s, m.end(), "r", ([(a + s, b + s) for a, b in read[0]], read[1])))
     # names typed in small letters: looked for only where a surname stands so
-    if not loose and any(words(w) in "SB" for w in set(LOW_WORD.findall(text))):
+    if not loose and words.holds_surname(set(LOW_WORD.findall(text))):
         for m in LOW.finditer(text):
             a, b = words(m[1]), words(m[3])
             if (a in "GB" and b in "SB") or (a in "SB" and b in "GB"):
