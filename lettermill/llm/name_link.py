@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions.nicknames import FORMAL, SHORTS
+from lettermill.llm.classes import expanded
 from lettermill.llm.metric_join import radius_join
-from lettermill.session import cut, spread
+from lettermill.session import cut, merged, spread
 
 RADIUS = 2
 # Words around names.
@@ -120,7 +121,7 @@ def entities(spellings: DataFrame) -> DataFrame:
     seats = people.select(F.col("a").alias("w"), weight.alias("n")).union(people.select("b", -weight)).groupBy("w").agg(F.sum("n").alias("n"))
     given = seats.where("n > 0").select("w").union(spark.createDataFrame([(w,) for g in SHORTS for w in (g, *SHORTS[g])], "w string")).distinct()
     g1, g2 = given.select(F.col("w").alias("a"), F.lit(True).alias("ga")), given.select(F.col("w").alias("b"), F.lit(True).alias("gb"))
-    people = people.join(g1, "a", "left").join(g2, "b", "left")
+    people = people.join(merged(g1), "a", "left").join(merged(g2), "b", "left")
     swap = ~F.col("sure") & F.col("gb").isNotNull() & F.col("ga").isNull()
     people = people.select("spelling", "kind", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("first"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("last"), "mid", "dom", (F.col("sure") | F.col("ga").isNotNull() | F.col("gb").isNotNull()).alias("known"))
     people = cut(people, "people")
@@ -136,41 +137,41 @@ def entities(spellings: DataFrame) -> DataFrame:
 
     # full names: equal, else within the radius in either order
     full = people.where("kind = 'full'").select("spelling", F.concat_ws(" ", "first", "last").alias("key"), F.concat_ws(" ", "last", "first").alias("other"), "known")
-    equal = full.join(keys, "key").select("spelling", "entity")
-    rest = full.join(equal, "spelling", "left_anti")
+    equal = full.join(merged(keys), "key").select("spelling", "entity")
+    rest = full.join(merged(equal), "spelling", "left_anti")
     asked = rest.select("spelling", "key").union(rest.where("not known").select("spelling", F.col("other")))
     asked = cut(asked, "asked")
     near = cut(radius_join(asked.select("key"), keys.select("key"), RADIUS), "near")
-    near = asked.join(near, asked["key"] == near["l"]).join(keys.withColumnRenamed("key", "r"), "r").select("spelling", "entity", "dist")
+    near = asked.join(merged(near), asked["key"] == near["l"]).join(merged(keys.withColumnRenamed("key", "r")), "r").select("spelling", "entity", "dist")
     near = _best(near, "spelling", "entity", "dist")
     linked = cut(equal.union(near), "linked")
 
     # no anchor: group among themselves, each to the best supported name within the radius
-    alone = full.join(linked.select("spelling"), "spelling", "left_anti").join(people.select("spelling", as_formal("first").alias("f"), "last"), "spelling").withColumn("name", F.concat_ws(" ", "f", "last"))
+    alone = full.join(merged(linked.select("spelling")), "spelling", "left_anti").join(merged(people.select("spelling", as_formal("first").alias("f"), "last")), "spelling").withColumn("name", F.concat_ws(" ", "f", "last"))
     alone = cut(alone, "alone")
     support = alone.groupBy("name").agg(F.count("*").alias("n"))
     pairs = radius_join(support.select(F.col("name").alias("key")), support.select(F.col("name").alias("key")), RADIUS)
-    to = pairs.join(support.toDF("r", "n"), "r").groupBy("l").agg(F.max(F.struct("n", "r")).alias("m")).select(F.col("l").alias("name"), F.col("m.r").alias("entity"))
-    lone = cut(alone.join(to, "name").select("spelling", "entity"), "lone")
+    to = pairs.join(merged(support.toDF("r", "n")), "r").groupBy("l").agg(F.max(F.struct("n", "r")).alias("m")).select(F.col("l").alias("name"), F.col("m.r").alias("entity"))
+    lone = cut(alone.join(merged(to), "name").select("spelling", "entity"), "lone")
 
     # initials and logins by surname
     named = who.select(F.substring("f", 1, 1).alias("i"), "last", "entity").union(lone.select("entity").distinct().select(F.substring("entity", 1, 1), F.element_at(F.split("entity", " "), -1), "entity")).distinct()
     named = cut(named, "named")
-    mids = linked.union(lone).join(people.where("mid <> ''").select("spelling", "mid"), "spelling").select("entity", F.col("mid").alias("known_mid")).distinct()
+    mids = linked.union(lone).join(merged(people.where("mid <> ''").select("spelling", "mid")), "spelling").select("entity", F.col("mid").alias("known_mid")).distinct()
     init = parts.where("kind = 'init'").select("spelling", F.col("a").alias("i"), F.col("b").alias("last"), "mid")
-    hit = init.join(named, ["i", "last"])
-    far = init.join(hit.select("spelling"), "spelling", "left_anti")
+    hit = init.join(merged(named), ["i", "last"])
+    far = init.join(merged(hit.select("spelling")), "spelling", "left_anti")
     near_last = radius_join(far.select(F.col("last").alias("key")), named.select(F.col("last").alias("key")), RADIUS)
-    fuzzy = far.join(near_last, far["last"] == near_last["l"]).select("spelling", "i", F.col("r").alias("last"), "mid", "dist").join(named, ["i", "last"])
+    fuzzy = far.join(merged(near_last), far["last"] == near_last["l"]).select("spelling", "i", F.col("r").alias("last"), "mid", "dist").join(merged(named), ["i", "last"])
     cands = hit.select("spelling", "entity", "mid", F.lit(0).alias("dist")).union(fuzzy.select("spelling", "entity", "mid", "dist"))
-    cands = cands.join(mids, (cands["entity"] == mids["entity"]) & (cands["mid"] == mids["known_mid"]), "left").select("spelling", cands["entity"], "dist", F.when(F.col("known_mid").isNotNull(), 0).otherwise(1).alias("off"))
+    cands = cands.join(merged(mids), (cands["entity"] == mids["entity"]) & (cands["mid"] == mids["known_mid"]), "left").select("spelling", cands["entity"], "dist", F.when(F.col("known_mid").isNotNull(), 0).otherwise(1).alias("off"))
     initials = cut(_best(cands, "spelling", "entity", "dist", "off"), "initials")
     logins = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login"), "dom")
     own = anchors.select("entity", "dom", F.explode(F.array(F.concat(F.substring("f", 1, 1), "last"), F.concat("f", "last"), F.concat("last", F.substring("f", 1, 1)))).alias("login")).distinct()
-    logins = _best(logins.join(own, ["login", "dom"]).withColumn("_z", F.lit(0)), "spelling", "entity", "_z")
+    logins = _best(logins.join(merged(own), ["login", "dom"]).withColumn("_z", F.lit(0)), "spelling", "entity", "_z")
     # a login whose person writes under no full address
-    lost = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login")).join(logins, "spelling", "left_anti")
-    logins = logins.union(_best(lost.join(named.withColumn("login", F.concat("i", "last")), "login").withColumn("_z", F.lit(0)), "spelling", "entity", "_z"))
+    lost = parts.where("kind = 'login'").select("spelling", F.col("a").alias("login")).join(merged(logins), "spelling", "left_anti")
+    logins = logins.union(_best(lost.join(merged(named.withColumn("login", F.concat("i", "last"))), "login").withColumn("_z", F.lit(0)), "spelling", "entity", "_z"))
     addresses = people.where("kind = 'addr'").select("spelling", F.concat_ws(" ", as_formal("first"), F.col("last")).alias("entity"))
 
     # organisations by head word
@@ -179,19 +180,19 @@ def entities(spellings: DataFrame) -> DataFrame:
     heads = cut(heads, "heads")
     op = radius_join(heads.where("not sure").select(F.col("head").alias("key")), heads.select(F.col("head").alias("key")), RADIUS)
     own = heads.select(F.col("head").alias("l"), F.col("what").alias("own_what"))
-    op = op.join(heads.withColumnRenamed("head", "r"), "r").join(own, "l").where("l = r OR what = own_what OR what IS NULL OR own_what IS NULL")  # another trade is another firm
+    op = op.join(merged(heads.withColumnRenamed("head", "r")), "r").join(merged(own), "l").where("l = r OR what = own_what OR what IS NULL OR own_what IS NULL")  # another trade is another firm
     to = op.groupBy("l").agg(F.max(F.struct("sure", F.when(F.col("sure"), -F.col("dist")).otherwise(0).alias("d"), "n", "r")).alias("m")).select(F.col("l").alias("head"), F.col("m.r").alias("to"))
-    orgs = cut(org.join(to, "head", "left").select("spelling", F.concat(F.lit("org:"), F.coalesce("to", "head")).alias("entity")), "orgs")
+    orgs = cut(org.join(merged(to), "head", "left").select("spelling", F.concat(F.lit("org:"), F.coalesce("to", "head")).alias("entity")), "orgs")
 
     every = addresses.union(linked).union(lone).union(initials).union(logins).union(orgs).distinct()
     # a display name with an address is the address's owner; of several readings the first kind named wins
     rank = F.when(F.col("spelling").contains("@"), F.lit(0)).otherwise(F.lit(1))
     first = addresses.union(logins).union(orgs.where(F.col("spelling").contains("@"))).distinct().select("spelling", F.col("entity").alias("sure_entity"))
-    return every.join(first, "spelling", "left").select("spelling", F.coalesce("sure_entity", "entity").alias("entity"), rank.alias("rank")).groupBy("spelling").agg(F.min(F.struct("rank", "entity")).alias("m")).select("spelling", "m.entity")
+    return every.join(merged(first), "spelling", "left").select("spelling", F.coalesce("sure_entity", "entity").alias("entity"), rank.alias("rank")).groupBy("spelling").agg(F.min(F.struct("rank", "entity")).alias("m")).select("spelling", "m.entity")
 
 
 def variant_pairs(spellings: DataFrame) -> DataFrame:
     """(a, b): different spellings of one entity, the smaller first."""
-    e = cut(entities(spellings), "entities")
-    a, b = e.select(F.col("spelling").alias("a"), "entity"), e.select(F.col("spelling").alias("b"), "entity")
-    return a.join(b, "entity").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    e = cut(entities(spellings).select(F.col("entity").alias("cls"), F.col("spelling").alias("id")), "entities")
+    several = e.groupBy("cls").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i < j").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    return expanded(several, e).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct()

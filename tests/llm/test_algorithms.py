@@ -112,7 +112,7 @@ def test_blocks_of_a_class_give_every_pair(spark, monkeypatch):
 
 def test_radius_join_against_brute_force(spark):
     rng = random.Random(2)
-    words = ["".join(rng.choices("abcd", k=rng.randint(3, 7))) for _ in range(150)]
+    words = ["".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(190)]
 
     def dist(a, b):
         row = list(range(len(b) + 1))
@@ -122,14 +122,26 @@ def test_radius_join_against_brute_force(spark):
                 prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
         return row[-1]
 
-    left, right = words[:80] + [None], words[60:]
+    left, right = words[:110] + [None], words[80:]
     df = lambda ws: spark.createDataFrame([(w,) for w in ws], "key string")
     got = rows(metric_join.radius_join(df(left), df(right), 2, pivots=5), "l", "r", "dist")
-    want = sorted({(a, b, dist(a, b)) for a in left if a for b in right if dist(a, b) <= 2})
+    want = sorted({(a, b, dist(a, b)) for a in left if a is not None for b in right if dist(a, b) <= 2})
     assert got == want
     assert metric_join.radius_join(df(left), df([]), 2).count() == 0
 
 
+def test_few_of_many_names_meet(spark):
+    """Of 2,000 by 2,000 two-word names less than one pair in a hundred reaches the true metric."""
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice(["bra", "lo", "vent", "mi", "kas", "tor", "gu", "nel", "pir", "sho"]) for _ in range(3))
+    names = [f"{part()} {part()}" for _ in range(2000)]
+    typo = lambda w: w[: (i := rng.randrange(len(w)))] + rng.choice("xyz") + w[i + 1 :]
+    df = lambda ws: spark.createDataFrame([(w,) for w in ws], "key string")
+    left = df([typo(n) for n in names])
+    assert metric_join.met(left, df(names), 2).count() < 0.01 * 2000 * 2000
+    assert metric_join.radius_join(left, df(names), 2).select("l").distinct().count() == len({r.key for r in left.collect()})
+
+
 def test_spellings_of_people_and_firms(spark):
     ann = ["margaret.raldpuwant@calderongas.example", "Margaret Raldpuwant", "Raldpuwant, Peggy", "Margaret L. Raldpuwant", "M. Raldpuwant", "Maragret Raldpuwant", "MARGARET RALDPUWANT/CGS/CALDERONGAS", "mraldpuwant@calderongas.example", "raldpuwant.margaret@calderongas.example", '"Raldpuwant, Margaret" <margaret.raldpuwant@calderongas.example>']
     bob = ["robert.yestdiokafu@ostlerpike.example", "Bob Yestdiokafu", "Yestdiokafu R."]
