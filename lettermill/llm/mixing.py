@@ -3,7 +3,7 @@
 Sizes are tokens of a public tokenizer.  For every mix the token masses of its (source, language, topic) cells are raked by iterative
 proportional fitting: the source marginal to the wanted tokens (as far as a source reaches with its allowed repeats), the language and
 topic marginals to their shares of the corpus.  A cell's raked mass over its own mass is the expected number of uses of each of its documents;
-its whole part is taken outright and the fraction is a calibrated probability, drawn systematically along a hash order.
+its whole part is taken outright and the fraction is a calibrated probability, drawn systematically along the documents by cell, size and hash.
 
 Defined results: documents with a null source belong to no mix; a null language is a language of its own; a null or empty text has
 no tokens and is never drawn; a source without documents gets nothing and falls short of any positive target; rows of the targets repeated
@@ -14,26 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.llm.bpe import counted
+from lettermill.session import merged
 
 ROUNDS, TOLERANCE = 200, 1e-9
-BLOCKS = 256
-
-
-def note_topic(text: str, topics: list[tuple[str, list[str]]]) -> Column:
-    """A cheap topic of a text: the first topic, in the order given, one of whose phrases it holds; else ``other``."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    out = F
-    for name, phrases in topics:
-        hit = F.lit(False)
-        for p in phrases:
-            hit = hit | t.contains(p)
-        out = out.when(hit, F.lit(name))
-    return out.otherwise(F.lit("other")) if topics else F.lit("other")
+BLOCK = 50_000  # documents, about, whose probabilities one window sums
 
 
 def targets(mix: DataFrame) -> DataFrame:
@@ -45,10 +34,12 @@ def targets(mix: DataFrame) -> DataFrame:
     )
 
 
-def sized(docs: DataFrame, topic: Column | None = None, **tokenizer) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens) of all documents with a source."""
-    src = docs.where(F.col("source").isNotNull()).select("doc_id", "source", F.coalesce("lang", F.lit("?")).alias("lang"), (topic if topic is not None else F.lit("other")).alias("topic"), "text")
-    return counted(src, ["doc_id", "source", "lang", "topic"], **tokenizer)
+def sized(docs: DataFrame, topics: DataFrame | None = None, **tokenizer) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of all documents with a source; ``topics`` is (doc_id, topic)."""
+    src = docs.where(F.col("source").isNotNull()).select("doc_id", "source", F.coalesce("lang", F.lit("?")).alias("lang"), "text")
+    out = counted(src, ["doc_id", "source", "lang"], **tokenizer)
+    out = out.withColumn("topic", F.lit("other")) if topics is None else out.join(merged(topics), "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("other")))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens")
 
 
 def rake(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,13 +88,17 @@ def drawn(docs: DataFrame, mix: DataFrame, seed: int = 8) -> DataFrame:
     """(mix_id, doc_id, source, n_tokens, copies): the documents of each mix and how often each is used."""
     rows = docs.where("n_tokens > 0").join(calibrated(docs, mix), ["source", "lang", "topic"]).where("uses > 0")
     rows = rows.withColumn("whole", F.floor(F.col("uses") + 1e-9)).withColumn("p", F.greatest(F.col("uses") - F.col("whole"), F.lit(0.0)))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "mix_id", "doc_id")).withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(BLOCKS)))
-    # tokens, not documents, are laid end to end, so the tokens drawn of a cell stray by no more than a document or two a block
-    rows = rows.withColumn("w", F.col("p") * F.col("n_tokens"))
-    w = Window.partitionBy("mix_id", "source", "block").orderBy("lang", "topic", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    u = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "source", "block"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    upto = F.sum("p").over(w)
-    rows = rows.withColumn("upto", upto).withColumn("u", u)
+    # one random start a mix and source; documents lie by cell and size, so a source's tokens stray by little; prefix sums in two levels, so no window holds a cell
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "mix_id", "doc_id")).withColumn("size", F.floor(F.log2("n_tokens")).cast("int"))
+    cell = ["mix_id", "source", "lang", "topic", "size"]
+    counts = docs.where("n_tokens > 0").groupBy("source", "lang", "topic", F.floor(F.log2("n_tokens")).cast("int").alias("size")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(merged(counts), cell[1:]).withColumn("block", F.pmod(F.shiftright("h", 40), F.col("blocks")).cast("int"))
+    sums = rows.groupBy(*cell, "block").agg(F.sum("p").alias("s"))
+    order = Window.partitionBy("mix_id", "source").orderBy("lang", "topic", "size", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("s").over(order), F.lit(0.0))).select(*cell, "block", "before")
+    w = Window.partitionBy(*cell, "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    u = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(merged(before), [*cell, "block"]).withColumn("upto", F.col("before") + F.sum("p").over(w)).withColumn("u", u)
     extra = (F.floor(F.col("upto") + F.col("u")) > F.floor(F.col("upto") - F.col("p") + F.col("u"))).cast("long")
     return rows.withColumn("copies", F.col("whole") + extra).where("copies > 0").select("mix_id", "doc_id", "source", "n_tokens", "copies")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +87,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the vocabulary is a fixed table of a few dozen rows
-    notes = table(spark, sf_dir, "topics").where(F.col("note").contains("such as")).orderBy("topic").collect()
-    phrases = [(r["topic"], [re.sub(r"^an? ", "", p) for p in r["note"].split("such as ", 1)[1].split(" or ")]) for r in notes]
-    return mixing.sized(table(spark, sf_dir, "documents"), mixing.note_topic("text", phrases))
+    docs = table(spark, sf_dir, "documents")
+    model = subjects.trained(*(table(spark, sf_dir, t) for t in ("mailbox", "topic_labels", "topics")))
+    return mixing.sized(docs, subjects.best_area(docs.select("doc_id", "text"), *model))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from lettermill.functions.text import label_key
 
-BLOCKS = 64  # prefix sums run in this many hash blocks a category, so no window holds a whole category
+BLOCK = 50_000  # rows of a category, about, whose probabilities one window sums; a category has as many hash blocks as it needs
 
 
 def categorised(rows: DataFrame, vocabulary: DataFrame, id_col: str, label_col: str, vocab_col: str) -> DataFrame:
@@ -54,9 +54,9 @@ def draw(pool: DataFrame, asked: DataFrame) -> DataFrame:
     sizes = pool.groupBy("topic").agg(F.count("*").alias("available"))
     ask = asked.join(sizes, "topic").where(F.col("target") > 0).withColumn("p", F.least(F.lit(1.0), F.col("target") / F.col("available")))
     rows = (
-        pool.join(ask.select("draw_id", "topic", "seed", "p", "target"), "topic")
+        pool.join(ask.select("draw_id", "topic", "seed", "p", "target", F.ceil(F.col("available") / BLOCK).cast("int").alias("blocks")), "topic")
         .withColumn("h", F.xxhash64("seed", "draw_id", "id"))
-        .withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(BLOCKS)))
+        .withColumn("block", F.pmod(F.shiftright("h", 40), F.col("blocks")))
     )
     # prefix sums in two levels: inside a block, and over the small table of block totals
     by_block = rows.groupBy("draw_id", "seed", "topic", "block").agg(F.sum("p").alias("s"))

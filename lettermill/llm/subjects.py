@@ -55,7 +55,7 @@ class Units:
         if i is None:
             i = self.index[w] = len(self.rows)
             p = f"<{w}>"
-            self.rows.append(np.array([_hash(w), *(_hash("#" + p[k : k + 5]) for k in range(max(1, len(p) - 4)))][:10], np.int32))
+            self.rows.append(np.array([_hash(w), *(_hash("#" + p[k : k + 5]) for k in range(max(1, len(p) - 4)))], np.int32))
         return i
 
 
@@ -233,16 +233,36 @@ def scores(texts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return texts.mapInArrow(run, f"{kinds}, n long, z array<float>")
 
 
+def trained(mailbox: DataFrame, labels: DataFrame, topics: DataFrame) -> tuple[dict[str, np.ndarray], list[str]]:
+    """The fitted model and its areas. ``topics`` is the label vocabulary, a fixed list."""
+    names = [r[0] for r in topics.where(F.col("topic").isNotNull()).select("topic").distinct().orderBy("topic").collect()]
+    return fit(cut(training_rows(mailbox.where(F.col("email_id").isNotNull()), labels, names), "fit"), len(names)), names
+
+
+def _probabilities(model: dict[str, np.ndarray], names: list[str], z) -> F.Column:
+    """Areas but ``other`` with their probabilities, best first; ``z(i)`` is the summed logit of area ``i`` over ``n`` terms."""
+    p = [F.struct((1 / (1 + F.exp(-(z(i) / F.greatest("n", F.lit(1)) + F.lit(float(model["b"][i])))))).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(names) if t != OTHER]
+    return F.reverse(F.array_sort(F.array(*p)))
+
+
+def best_area(texts: DataFrame, model: dict[str, np.ndarray], names: list[str]) -> DataFrame:
+    """The columns of ``texts`` but its last, ``text``, and ``topic``: the one best area of each text by itself, or ``other``. A null text is empty."""
+    *keep, text = texts.columns
+    scored = scores(spread(texts.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("text"))), model)
+    if not [t for t in names if t != OTHER]:
+        return scored.select(*keep, F.lit(OTHER).alias("topic"))
+    top = _probabilities(model, names, lambda i: F.col("z")[i])[0]
+    return scored.select(*keep, F.when(top["p"] < FIRST, F.lit(OTHER)).otherwise(top["t"]).alias("topic"))
+
+
 def areas(mailbox: DataFrame, labels: DataFrame, topics: DataFrame) -> DataFrame:
     """(email_id, topic): every area of every mail."""
-    names = [r[0] for r in topics.where(F.col("topic").isNotNull()).select("topic").distinct().orderBy("topic").collect()]  # the label vocabulary, a fixed list
     mailbox = mailbox.where(F.col("email_id").isNotNull())
-    model = fit(cut(training_rows(mailbox, labels, names), "fit"), len(names))
+    model, names = trained(mailbox, labels, topics)
     scored = scores(spread(mailbox.select("email_id", _thread().alias("thread"), _text().alias("text"))), model)
     scored = cut(scored, "scored")
     sums = scored.groupBy("thread").agg(F.sum("n").alias("n"), *[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(len(names))])
-    p = F.array(*[F.struct((1 / (1 + F.exp(-(F.col(f"z{i}") / F.greatest("n", F.lit(1)) + F.lit(float(model["b"][i])))))).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(names) if t != OTHER])
-    ranked = sums.select("thread", F.reverse(F.array_sort(p)).alias("r")).select("thread", F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    ranked = sums.select("thread", _probabilities(model, names, lambda i: F.col(f"z{i}")).alias("r")).select("thread", F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
     second = (F.col("b.p") >= SECOND) & (F.col("b.p") >= RATIO * F.col("a.p"))
     chosen = ranked.select("thread", F.when(F.col("a.p") < FIRST, F.array(F.lit(OTHER))).when(second, F.array("a.t", "b.t")).otherwise(F.array("a.t")).alias("topics"))
     return scored.select("email_id", "thread").distinct().join(chosen, "thread").select("email_id", F.explode("topics").alias("topic")).distinct()
