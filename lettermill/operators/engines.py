@@ -40,30 +40,21 @@ def stub(prompts: DataFrame, choices: list[str]) -> DataFrame:
     return prompts.withColumn("answer", F.element_at(F.array(*map(F.lit, choices)), pick))
 
 
+_DECODER = json.JSONDecoder()
+
+
 def first_object(text: str | None) -> str | None:
-    """The first balanced JSON object of a text; braces inside strings do not count."""
+    """The first balanced JSON object of a text; braces inside strings do not count. Each brace is tried once, by the library's own scanner."""
     if not text:
         return None
     start = text.find("{")
     while start >= 0:
-        depth, inside, escaped = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if inside:
-                inside, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
-            elif c == '"':
-                inside = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    try:
-                        if isinstance(json.loads(text[start : i + 1]), dict):
-                            return text[start : i + 1]
-                    except ValueError:
-                        pass
-                    break
+        try:
+            got, end = _DECODER.raw_decode(text, start)
+            if isinstance(got, dict):
+                return text[start:end]
+        except (ValueError, RecursionError):
+            pass
         start = text.find("{", start + 1)
     return None
 

@@ -1,7 +1,7 @@
 """Sequential draws over one category at a time: whole threads while they fit, quotas with jitter.
 
-A category is one group; its rows are senders' queues of thread heads, so a group holds one row a thread, and ``CANDIDATES`` senders and threads a
-place bound it: by hash order no more than that many can matter for a quota.
+A category is one group of the sequential step, which sees queues of senders cut to what a quota can reach (:func:`whole_threads`), so its size is bounded
+by the quota, not by the category, and its result is that of the whole category.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lettermill.session import merged
+
 
 def fill_threads(threads: pd.DataFrame) -> pd.DataFrame:
     """Takes whole threads of one topic up to its quota: longer threads first while they fit, then single mails, one sender a round.
@@ -43,11 +45,20 @@ def fill_threads(threads: pd.DataFrame) -> pd.DataFrame:
 
 
 def whole_threads(units: DataFrame, quotas: DataFrame, seed: int = 9) -> DataFrame:
-    """(topic, thread_id): units are (topic, thread_id, sender, n). Before the sequential step each topic keeps its ``4 * quota`` first threads of either length class in hash order, block by block."""
+    """(topic, thread_id): units are (topic, thread_id, sender, n).
+
+    A sender's queue is cut after ``quota + 1`` threads: each thread taken adds a mail or more, and the one after the last may only block.  A sender whose first head
+    has ``v`` mails is passed over once the room is under ``v``, and the room only shrinks; so of the senders with such a head, in order, ``quota / v`` are taken
+    at most and all after the next are passed over. Both cuts therefore change nothing.
+    """
     u = units.join(quotas, "topic").withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "thread_id"))).withColumn("single", F.col("n") == 1)
-    blk = F.pmod(F.xxhash64("thread_id"), F.lit(32))
-    u = u.withColumn("r", F.row_number().over(Window.partitionBy("topic", "single", blk).orderBy("h", "thread_id"))).where(F.col("r") <= 4 * F.col("quota"))
-    u = u.withColumn("r", F.row_number().over(Window.partitionBy("topic", "single").orderBy("h", "thread_id"))).where(F.col("r") <= 4 * F.col("quota"))
+    own = Window.partitionBy("topic", "single", "sender").orderBy("h", "thread_id")
+    u = u.withColumn("r", F.row_number().over(own)).where(F.col("r") <= F.col("quota") + 1)
+    heads = u.where("r = 1 AND n <= quota").select("topic", "single", "sender", "n", F.col("h").alias("hh"), F.col("thread_id").alias("ht"), (F.floor(F.col("quota") / F.col("n")) + 1).alias("most"))
+    block = F.pmod(F.xxhash64("sender"), F.lit(64))
+    for part in (Window.partitionBy("topic", "single", "n", block), Window.partitionBy("topic", "single", "n")):
+        heads = heads.withColumn("k", F.row_number().over(part.orderBy("hh", "ht"))).where(F.col("k") <= F.col("most"))
+    u = u.join(merged(heads.select("topic", "single", "sender")), ["topic", "single", "sender"], "left_semi")
     return u.select("topic", "thread_id", "sender", "n", "h", "quota").groupBy("topic").applyInPandas(fill_threads, "topic string, thread_id string")
 
 
@@ -68,5 +79,5 @@ def jittered(quotas: dict[str, int], jitter: int, seed: int, pools: dict[str, in
                 gap -= step
                 moved = True
         if not moved:
-            break
+            raise ValueError(f"the jittered quotas miss their total by {gap}: the pools leave no room inside the jitter")
     return out

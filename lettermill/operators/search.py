@@ -7,31 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions.text import search_tokens
-from lettermill.session import cut
+from lettermill.session import cut, merged
 
 K1, B = 1.5, 0.75
 
 
-def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, toks), written once: lengths, frequencies and postings all start from it."""
-    return cut(docs.select(F.col(key).alias("doc"), search_tokens(text).alias("toks")), "tokens")
+def small_or_merged(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df`` for a join: broadcast where a count of at most ``most`` rows proves it small, sorted and merged otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else merged(df)
 
 
-def postings(d: DataFrame) -> DataFrame:
-    """(doc, term, tf, len) of tokenised documents."""
-    return d.select("doc", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, qkey: str = "qid", qtext: str = "query", without: DataFrame | None = None) -> DataFrame:
+    """(qid, doc, score, rank): the best ``k`` documents of each query with a score above zero; ties by document key. Queries count each of their terms once.
 
-
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, qkey: str = "qid", qtext: str = "query") -> DataFrame:
-    """(qid, doc, score, rank): the best ``k`` documents of each query with a score above zero; ties by document key. Queries count each of their terms once."""
-    d = tokenised(docs, key, text)
-    p = postings(d)
-    q = queries.select(F.col(qkey).alias("qid"), F.explode(F.array_distinct(search_tokens(qtext))).alias("term")).distinct()
-    size = d.select(F.size("toks").alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))  # one row
+    Only tokens that some query asks for leave their document; frequencies, lengths and the corpus mean are exact.  ``without`` is (qid, doc) never to be
+    shown. Null texts have no token; a null query finds nothing.
+    """
+    d = docs.select(F.col(key).alias("doc"), search_tokens(text).alias("toks")).select("doc", F.size("toks").alias("len"), "toks")
+    q = cut(queries.select(F.col(qkey).alias("qid"), F.explode(F.array_distinct(search_tokens(qtext))).alias("term")).distinct(), "asked")
+    terms = cut(q.select("term").distinct(), "terms")
+    size = d.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))  # one row
+    p = d.select("doc", "len", F.explode("toks").alias("term")).join(small_or_merged(terms), "term").groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
+    p = cut(p, "postings")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # only postings of asked terms are joined with their frequencies
-    hits = q.join(p.join(q.select("term").distinct(), "term", "left_semi"), "term").join(df, "term").crossJoin(F.broadcast(size)).groupBy("qid", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    hits = p.join(merged(q.join(merged(df), "term")), "term").crossJoin(F.broadcast(size)).groupBy("qid", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score")).where("score > 0")
+    if without is not None:
+        hits = hits.join(merged(without.select("qid", "doc")), ["qid", "doc"], "left_anti")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return hits.where("score > 0").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -103,16 +103,16 @@ def first_balanced_json(spark, sf_dir):
 _PROMPT = "Topic of this mail?\nSubject: <<SUBJECT>>\n<<OWN>>"
 
 
-@query(f"{M} SELECT email_id, sha256('Topic of this mail?' || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || body[1:200]) AS prompt_sha FROM mails")
+@query(f"{M} SELECT email_id, sha256('Topic of this mail?' || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || body) AS prompt_sha FROM mails")
 def label_prompts(spark, sf_dir):
-    return engines.prompted(mails(spark, sf_dir), _PROMPT, subject=F.col("subject"), own=F.substring("body", 1, 200)).select("email_id", "prompt_sha")
+    return engines.prompted(mails(spark, sf_dir), _PROMPT, subject=F.col("subject"), own=F.col("body")).select("email_id", "prompt_sha")
 
 
 @query()
 def stub_labels(spark, sf_dir):
     """Prompts answered by the deterministic stub over the label vocabulary."""
     names = [r[0] for r in table(spark, sf_dir, "topics").select("topic").orderBy("topic").collect()]  # a fixed list
-    return engines.stub(engines.prompted(mails(spark, sf_dir), _PROMPT, subject=F.col("subject"), own=F.substring("body", 1, 200)), names).select("email_id", "answer")
+    return engines.stub(engines.prompted(mails(spark, sf_dir), _PROMPT, subject=F.col("subject"), own=F.col("body")), names).select("email_id", "answer")
 
 
 @query("""SELECT email_id, topic, CASE WHEN topic = '?' THEN lower(coalesce(raw, '')) ELSE topic END AS answer FROM (SELECT DISTINCT email_id, topic, raw FROM topic_labels)""")

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.session import bounded
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a line; blank lines are skipped, broken ones raise."""
@@ -50,13 +52,40 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A report table as Markdown; reports are short and ``limit`` bounds what reaches the driver."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report table as Markdown; a report of more than ``most`` rows raises, none is dropped."""
+    rows = bounded(df, most).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)])
 
 
+def write_model_record(spark: SparkSession, path: str, engine: str, preset: str, model: str) -> None:
+    """The one-row record beside an output that says what made it: ``<path>.model.json``."""
+    row = spark.createDataFrame([(engine, preset, model)], "engine string, preset string, model string")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}.model.json")
+
+
+def read_model_record(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("engine string, preset string, model string").json(f"{path}.model.json")
+
+
+def write_bundle(spark: SparkSession, path: str, reports: dict[str, DataFrame], rows: dict[str, DataFrame], provenance: dict) -> DataFrame:
+    """A result bundle: each report as CSV and Markdown, each row table as gzipped JSON lines, the provenance, and ``SHA256SUMS`` of all parts.
+
+    Returns (file, sha256, bytes). Row tables are written by the executors; only reports, which are short, pass through the driver.
+    """
+    for name, df in reports.items():
+        df.write.mode("errorifexists").csv(f"{path}/{name}.csv", header=True)
+        spark.createDataFrame([(markdown(df),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/{name}.md")
+    for name, df in rows.items():
+        df.write.mode("errorifexists").option("compression", "gzip").option("ignoreNullFields", False).json(f"{path}/{name}.jsonl")
+    spark.createDataFrame([(json.dumps(provenance, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/provenance.json")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    sums = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    sums.select(F.concat_ws("  ", "sha256", "file")).coalesce(1).write.mode("errorifexists").text(f"{path}/SHA256SUMS")
+    return sums
+
+
 def header_digest(header: dict) -> str:
     return hashlib.sha256(json.dumps(header, sort_keys=True).encode()).hexdigest()
 
@@ -68,10 +97,9 @@ def append_batch(df: DataFrame, path: str, header: dict, batch_id: int, key: str
     """
     spark = df.sparkSession
     want = header_digest(header)
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing there yet
-        old = None
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    old = spark.read.parquet(path) if there else None  # any other fault of reading is an error, not an empty sink
     if old is not None:
         if old.where(F.col("_header") != want).limit(1).count():
             raise ValueError("the sink was begun with another header")

@@ -14,8 +14,11 @@ from lettermill.operators.session import COUNTED
 OUT = "session_id string, used long, exhausted boolean"
 
 
-def budget_stream(calls: DataFrame, budget: int, late: str = "1 hour") -> DataFrame:
-    """Running use of each session's budget. ``calls`` streams (session_id, seq, tool, at); calls recorded twice within the watermark count once."""
+def budget_stream(calls: DataFrame, budget: int, late: str = "1 hour", idle_days: int = 30) -> DataFrame:
+    """Running use of each session's budget. ``calls`` streams (session_id, seq, tool, at); calls recorded twice within the watermark count once.
+
+    A session keeps its count through pauses; only after ``idle_days`` without a call, by event time, is it over and its state dropped.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -25,7 +28,7 @@ def budget_stream(calls: DataFrame, budget: int, late: str = "1 hour") -> DataFr
         for b in batches:
             used += int(b["tool"].isin(COUNTED).sum())
         state.update((used,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_days * 86_400_000)
         yield pd.DataFrame({"session_id": [key[0]], "used": [used], "exhausted": [used >= budget]})
 
     once = calls.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["session_id", "seq"])

@@ -1,5 +1,6 @@
 """Decision logic on small tables with known answers, and the invariants of the draws."""
 
+import hashlib
 import random
 
 import pytest
@@ -70,6 +71,22 @@ def test_bm25_orders_by_score_then_key(spark):
     assert [r.doc for r in got] == ["d1", "d2"] and got[0].score > got[1].score > 0
 
 
+def test_fill_equals_the_uncut_run_with_a_heavy_sender(spark):
+    rng = random.Random(5)
+    data = [("law", f"t{i:05}", "hot" if i % 3 else f"s{rng.randrange(400)}", rng.choice([1, 1, 2, 3, 5, 9, 40])) for i in range(4000)]
+    u = spark.createDataFrame(data, "topic string, thread_id string, sender string, n int")
+    for quota in (7, 30, 61):
+        got = rows(fill.whole_threads(u, spark.createDataFrame([("law", quota)], "topic string, quota int")), "thread_id")
+        pdf = u.toPandas().assign(quota=quota)
+        pdf["h"] = [hashlib.md5(f"9:{t}".encode()).hexdigest() for t in pdf.thread_id]
+        assert got == sorted((t,) for t in fill.fill_threads(pdf).thread_id)
+
+
+def test_jitter_without_room_raises():
+    with pytest.raises(ValueError):
+        fill.jittered({"a": 10, "b": 10}, 2, 5, {"a": 10, "b": 3})
+
+
 # ---- sessions
 
 LOG = "session_id string, seq int, tool string, arg string, returned array<string>, status string"
@@ -226,6 +243,20 @@ def test_flat_files_round_trip_and_resume(spark, tmp_path):
     with pytest.raises(ValueError):
         files.append_batch(df, out, {"model": "other"}, 3, "k")
     assert files.markdown(df).splitlines()[0] == "| k | v |"
+    with pytest.raises(ValueError):
+        files.markdown(df, most=1)
+    (tmp_path / "bad").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017 - a file that does not read is an error, not an empty sink
+        files.append_batch(df, str(tmp_path / "bad"), {"model": "m"}, 1, "k")
+
+
+def test_bundle_and_model_record(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    sums = files.write_bundle(spark, str(tmp_path / "b"), {"report": df}, {"rows": df}, {"seed": 1})
+    assert {r.file.split("/")[0] for r in sums.collect()} == {"report.csv", "report.md", "rows.jsonl", "provenance.json"}
+    assert spark.read.json(str(tmp_path / "b" / "rows.jsonl")).count() == 2 and spark.read.text(str(tmp_path / "b" / "SHA256SUMS")).count() == sums.count()
+    files.write_model_record(spark, str(tmp_path / "out"), "e", "p", "m")
+    assert rows(files.read_model_record(spark, str(tmp_path / "out")), "engine", "preset", "model") == [("e", "p", "m")]
 
 
 def test_streamed_budget(spark, tmp_path):
