@@ -49,3 +49,64 @@ def stateful(pdf: pd.DataFrame) -> pd.DataFrame:
     """The same budget count as a fold over one session, for use where calls arrive as a stream."""
     pdf = pdf.sort_values("seq")
     return pdf.assign(used=pdf["tool"].isin(COUNTED).cumsum())
+
+
+def pages(log: DataFrame, total: int) -> DataFrame:
+    """(session_id, seq, page, status) of every listing call: the page asked for, or the next one where none is named.
+
+    ``invalid`` a page that does not exist, ``already`` one seen before in the session, ``complete`` the call that shows the last page still unseen, else ``ok``.
+    """
+    w = Window.partitionBy("session_id").orderBy("seq")
+    l = log.where("tool = 'list'").withColumn("page", F.coalesce(F.expr("try_cast(arg AS int)"), F.row_number().over(w)))
+    l = l.withColumn("valid", F.col("page").between(1, total))
+    l = l.withColumn("first", F.col("valid") & (F.row_number().over(Window.partitionBy("session_id", "page").orderBy("seq")) == 1))
+    seen = F.sum(F.col("first").cast("int")).over(w)
+    status = F.when(~F.col("valid"), "invalid").when(~F.col("first"), "already").when(seen == total, "complete").otherwise("ok")
+    return l.select("session_id", "seq", "page", status.alias("status"))
+
+
+def gates(log: DataFrame, total_pages: int, budget: int, most: int = 5, need: int = 4) -> DataFrame:
+    """(session_id, seq, verdict) of every answer: the first gate that closes, in their order, else ``accepted``.
+
+    ``no list``; ``too many`` evidence ids; ``no secret`` where ids come with a blank one; ``bad evidence`` that is no mail id; ``too little work`` by reads and searches;
+    ``unread search`` where nothing was read since the last search; ``scan incomplete`` for an empty answer before every page was seen.  Work, unread results and the scan are not asked for
+    once the budget is used up.
+    """
+    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    n = lambda t: F.coalesce(F.sum((F.col("tool") == t).cast("long")).over(w), F.lit(0))
+    last = lambda t: F.max(F.when(F.col("tool") == t, F.col("seq"))).over(w)
+    shown = pages(log, total_pages).where("status IN ('ok', 'complete')").select("session_id", "seq", F.lit(1).alias("new"))
+    a = log.join(shown, ["session_id", "seq"], "left")
+    a = a.withColumn("s", n("search")).withColumn("r", n("read")).withColumn("used", F.col("s") + F.col("r") + n("list")).withColumn("seen", F.coalesce(F.sum("new").over(w), F.lit(0))).withColumn("ls", last("search")).withColumn("lr", last("read"))
+    k, spent = F.size("returned"), F.col("used") >= budget
+    verdict = (
+        F.when(F.col("returned").isNull(), "no list")
+        .when(k > most, "too many")
+        .when((k > 0) & (F.trim("arg") == ""), "no secret")
+        .when(F.exists("returned", lambda x: ~F.coalesce(x.rlike("^[ep]_"), F.lit(False))), "bad evidence")
+        .when(~spent & (F.col("s") + F.col("r") < need), "too little work")
+        .when(~spent & (F.coalesce("ls", F.lit(-1)) > F.coalesce("lr", F.lit(-1))), "unread search")
+        .when(~spent & (k == 0) & (F.col("seen") < total_pages), "scan incomplete")
+        .otherwise("accepted")
+    )
+    return a.where("tool = 'answer'").select("session_id", "seq", verdict.alias("verdict"))
+
+
+def final_state(log: DataFrame, budget: int, total_pages: int, extra: int = 8) -> DataFrame:
+    """(session_id, turns, turn_limit, state): ``answered`` inside the limit of turns, ``forced empty`` beyond it, ``open`` where neither came."""
+    limit = budget + total_pages + extra
+    w = Window.partitionBy("session_id").orderBy("seq")
+    t = log.withColumn("turn", F.row_number().over(w))
+    g = t.groupBy("session_id").agg(F.max("turn").cast("long").alias("turns"), F.min(F.when(F.col("tool") == "answer", F.col("turn"))).alias("at"))
+    state = F.when(F.col("at") <= limit, "answered").when(F.col("turns") > limit, "forced empty").otherwise("open")
+    return g.select("session_id", "turns", F.lit(limit).alias("turn_limit"), state.alias("state"))
+
+
+def shown_threads(log: DataFrame, mails: DataFrame, alone: int = 1500, each: int = 700) -> DataFrame:
+    """(session_id, seq, email_id, n_chars, head): what a reading call shows: the whole thread of the mail, ``alone`` characters of a single message, ``each`` of several."""
+    m = mails.select("email_id", F.coalesce("thread_id", F.concat(F.lit("\x00"), "email_id")).alias("t"), F.coalesce("body", F.lit("")).alias("body"))
+    reads = log.where("tool = 'read'").select("session_id", "seq", F.col("arg").alias("email_id")).join(m.select("email_id", "t"), "email_id").drop("email_id")
+    sizes = m.groupBy("t").agg(F.count("*").alias("k"))
+    out = reads.join(sizes, "t").join(m, "t")
+    head = F.when(F.col("k") == 1, F.substring("body", 1, alone)).otherwise(F.substring("body", 1, each))
+    return out.select("session_id", "seq", "email_id", F.length("body").alias("n_chars"), head.alias("head"))

@@ -163,19 +163,6 @@ def mails_any(spark, sf_dir):
     return table(spark, sf_dir, "mailbox").groupBy("email_id").agg(F.min("thread_id").alias("thread_id"))
 
 
-@query("SELECT o.o_orderkey, l.l_linenumber, sha256(o.o_orderkey || ':' || l.l_linenumber) = sha256(concat_ws(':', l.l_orderkey, l.l_linenumber)) AS same FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT'")
-def rebuild_equality(spark, sf_dir):
-    o, l = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), table(spark, sf_dir, "lineitem")
-    same = F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")), 256) == F.sha2(F.concat_ws(":", "l_orderkey", "l_linenumber"), 256)
-    return o.join(l, o["o_orderkey"] == l["l_orderkey"]).select("o_orderkey", "l_linenumber", same.alias("same"))
-
-
-@query("SELECT DISTINCT session_id FROM tool_log WHERE tool = 'search' AND session_id NOT IN (SELECT session_id FROM tool_log WHERE tool = 'answer' AND session_id IS NOT NULL)")
-def two_key_anti(spark, sf_dir):
-    t = table(spark, sf_dir, "tool_log")
-    return t.where("tool = 'search'").select("session_id").distinct().join(t.where("tool = 'answer'").select("session_id"), "session_id", "left_anti")
-
-
 # ---- aggregates
 
 
@@ -256,31 +243,6 @@ def outcome_by_tool(spark, sf_dir):
     return table(spark, sf_dir, "tool_log").groupBy("tool").agg(F.count("*").alias("calls"), F.count_distinct("session_id").alias("sessions"), F.round(F.avg(F.size("returned")), 6).alias("mean_returned"), F.round(F.avg(F.when(F.col("status") == "ok", 1.0).otherwise(0.0)), 6).alias("ok_share"))
 
 
-_OUT = "count(*) AS n, round(avg((l_returnflag = 'R')::INT), 6) AS returned, round(avg((l_linestatus = 'F')::INT), 6) AS closed, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue"
-
-
-@query(f"SELECT CAST(p_size // 10 AS INTEGER) AS level, {_OUT} FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
-def outcome_by_level(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return j.groupBy(F.floor(F.col("p_size") / 10).cast("int").alias("level")).agg(*_outcome())
-
-
-def _outcome():
-    flag = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return F.count("*").alias("n"), flag(F.col("l_returnflag") == "R").alias("returned"), flag(F.col("l_linestatus") == "F").alias("closed"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
-
-
-@query(f"SELECT coalesce(p_brand, 'all') AS brand, {_OUT} FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ROLLUP (p_brand)")
-def outcome_rollup(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return j.rollup("p_brand").agg(*_outcome()).withColumn("brand", F.coalesce("p_brand", F.lit("all"))).drop("p_brand")
-
-
-@query("SELECT o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.5 ELSE o_totalprice END) / 1000, 4) AS cost FROM orders GROUP BY 1")
-def token_cost(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 0.5).otherwise(F.col("o_totalprice"))) / 1000, 4).alias("cost"))
-
-
 @query("SELECT kind, name, count(DISTINCT email_id) AS docs, count(*) AS n FROM (SELECT email_id, f.kind AS kind, f.name AS name FROM (SELECT email_id, unnest(found) AS f FROM name_audit)) GROUP BY 1, 2")
 def audit_counts(spark, sf_dir):
     f = table(spark, sf_dir, "name_audit").select("email_id", F.explode("found").alias("f")).select("email_id", "f.kind", "f.name")
@@ -294,13 +256,6 @@ def _log(spark, sf_dir):
     return session.clean_log(table(spark, sf_dir, "tool_log"))
 
 
-@query(f"WITH {_LOG}, r AS (SELECT session_id, count(*) FILTER (tool = 'search') AS searches, count(*) FILTER (tool = 'read') AS reads, count(DISTINCT arg) FILTER (tool = 'read') AS opened FROM l GROUP BY 1) SELECT *, reads - opened AS redundant FROM r")
-def session_metrics(spark, sf_dir):
-    n = lambda t: F.count(F.when(F.col("tool") == t, 1))
-    r = _log(spark, sf_dir).groupBy("session_id").agg(n("search").alias("searches"), n("read").alias("reads"), F.count_distinct(F.when(F.col("tool") == "read", F.col("arg"))).alias("opened"))
-    return r.withColumn("redundant", F.col("reads") - F.col("opened"))
-
-
 @query(f"""WITH {_LOG}, t AS (SELECT email_id, min(thread_id) AS thread_id FROM mailbox GROUP BY 1), a AS (SELECT DISTINCT session_id, thread_id FROM (SELECT session_id, unnest(returned) AS email_id FROM l WHERE tool = 'answer') JOIN t USING (email_id)),
 p AS (SELECT DISTINCT thread_id FROM (SELECT unnest(flatten(map_values(planted))) AS email_id FROM answer_key) JOIN t USING (email_id)) SELECT session_id, count(*) AS cited, count(p.thread_id) AS planted, round(count(p.thread_id) / count(*), 3) AS precision FROM a LEFT JOIN p USING (thread_id) GROUP BY 1""")
 def citation_pr(spark, sf_dir):
@@ -331,42 +286,6 @@ def power_set(spark, sf_dir):
     return k.select("chain", F.explode(F.expr("sequence(1L, shiftleft(1L, n) - 1L)")).alias("mask")).withColumn("size", F.bit_count("mask").cast("long"))
 
 
-_MATCH = "CAST(substr(md5(chain || ':' || m || ':' || prober), 1, 1) IN ('0', '1', '2', '3') OR (bit_count(m) = n AND substr(md5(chain || ':' || prober), 1, 1) < 'c') AS BOOLEAN)"
-
-
-def _verdicts(spark, sf_dir):
-    """A stand-in table of probe verdicts, one for each chain, subset and prober, derived from hashes."""
-    k = table(spark, sf_dir, "answer_key").select("chain", "n").distinct()
-    s = k.select("chain", "n", F.explode(F.expr("sequence(1, shiftleft(1, n) - 1)")).alias("m")).select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("prober"))
-    h = F.substring(F.md5(F.concat_ws(":", "chain", "m", "prober")), 1, 1)
-    full = (F.bit_count("m") == F.col("n")) & (F.substring(F.md5(F.concat_ws(":", "chain", "prober")), 1, 1) < "c")
-    return s.withColumn("matched", h.isin("0", "1", "2", "3") | full)
-
-
-_V = f"v AS (SELECT s.chain, s.n, s.m, prober, {_MATCH} AS matched FROM s, (VALUES ('a'), ('b')) x(prober))"
-
-
-@query(f"WITH {_CALLS}, {_V} SELECT chain, bool_or(matched AND bit_count(m) < n) AS leak, bool_and(matched) FILTER (bit_count(m) = n) AS full_all, NOT bool_or(matched AND bit_count(m) < n) AND bool_and(matched) FILTER (bit_count(m) = n) AS keep FROM v GROUP BY 1")
-def and_check_decide(spark, sf_dir):
-    """Kept where no proper subset gives the secret away to any prober and the full set gives it to all."""
-    v = _verdicts(spark, sf_dir)
-    whole = F.bit_count("m") == F.col("n")
-    g = v.groupBy("chain").agg(F.bool_or(F.col("matched") & ~whole).alias("leak"), F.bool_and(F.when(whole, F.col("matched"))).alias("full_all"))
-    return g.withColumn("keep", ~F.col("leak") & F.col("full_all"))
-
-
-@query(f"""WITH {_CALLS}, {_V}, g AS (SELECT chain, n, m, bool_and(matched) AS every, bool_or(matched) AS any_ FROM v GROUP BY ALL),
-c AS (SELECT a.chain, a.m FROM g a WHERE bit_count(a.m) >= 2 AND bit_count(a.m) < a.n AND a.m & (1 << (a.n - 1)) <> 0 AND a.every AND NOT EXISTS (SELECT 1 FROM g b WHERE b.chain = a.chain AND b.m <> a.m AND b.m & a.m = b.m AND b.any_))
-SELECT chain, arg_min(m, (bit_count(m), m)) AS mask FROM c GROUP BY 1""")
-def pair_reduce(spark, sf_dir):
-    """Smallest proper subset of two threads or more, with the last thread, that every prober matches and none of whose own subsets matches."""
-    g = _verdicts(spark, sf_dir).groupBy("chain", "n", "m").agg(F.bool_and("matched").alias("every"), F.bool_or("matched").alias("any_"))
-    a = g.where((F.bit_count("m") >= 2) & (F.bit_count("m") < F.col("n")) & F.col("every")).where(F.expr("m & shiftleft(1, n - 1) <> 0"))
-    b = g.where("any_").select(F.col("chain").alias("bc"), F.col("m").alias("bm"))
-    c = a.join(b, (F.col("chain") == F.col("bc")) & (F.col("bm") != F.col("m")) & (F.col("bm").bitwiseAND(F.col("m")) == F.col("bm")), "left_anti")
-    return c.groupBy("chain").agg(F.min(F.struct(F.bit_count("m").alias("k"), "m")).alias("b")).select("chain", F.col("b.m").cast("long").alias("mask"))
-
-
 @query("SELECT pattern, count(*) AS chains, sum((n = 3)::INT) AS of_three, count(secret) AS with_secret, count(kind) AS with_kind FROM answer_key GROUP BY 1")
 def generation_report(spark, sf_dir):
     return table(spark, sf_dir, "answer_key").groupBy("pattern").agg(F.count("*").alias("chains"), F.sum((F.col("n") == 3).cast("long")).alias("of_three"), F.count("secret").alias("with_secret"), F.count("kind").alias("with_kind"))
@@ -535,12 +454,6 @@ def smallest_path(spark, sf_dir):
     return table(spark, sf_dir, "parsed_emails").where("message_id IS NOT NULL").groupBy("message_id").agg(F.min("file_path").alias("file_path"))
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
-def last_row_wins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("b"))
-    return e.select("user_id", "event_type", "b.event_id")
-
-
 # ---- search
 
 
@@ -559,13 +472,6 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(d, "email_id", "text", qs, 12)
 
 
-@query("WITH " + _bm25_sql("SELECT chain AS doc, secret AS text FROM answer_key", "SELECT chain AS qid, secret AS query FROM answer_key", 9).replace("SELECT qid, doc, score, rank FROM (SELECT *,", "SELECT qid, doc, score, rank FROM (SELECT *,"))
-def bm25_related(spark, sf_dir):
-    """Related secrets: the text itself is the query; itself is the first hit."""
-    k = table(spark, sf_dir, "answer_key")
-    return search.bm25(k, "chain", "secret", k.select(F.col("chain").alias("qid"), F.col("secret").alias("query")), 9)
-
-
 @query(f"""WITH {_LOG}, t AS (SELECT session_id, seq, list_distinct({tokens("coalesce(arg, '')")}) AS t FROM l WHERE tool = 'search'), p AS (SELECT session_id, seq, t, lag(t) OVER (PARTITION BY session_id ORDER BY seq) AS o FROM t)
 SELECT session_id, seq, round(CASE WHEN len(list_distinct(list_concat(t, o))) = 0 THEN 0 ELSE len(list_intersect(t, o)) / len(list_distinct(list_concat(t, o))) END, 6) AS jaccard FROM p WHERE o IS NOT NULL""")
 def jaccard(spark, sf_dir):
@@ -588,12 +494,6 @@ def investigation_credit(spark, sf_dir):
     return session.credit(_log(spark, sf_dir))
 
 
-@query(f"""WITH {_LOG}, c AS (SELECT *, coalesce(sum((tool = 'search')::INT) OVER w, 0) AS s, coalesce(sum((tool = 'read')::INT) OVER w, 0) AS r FROM l WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT session_id, seq, CASE WHEN coalesce(len(returned), 0) = 0 THEN 'empty' WHEN s + r < 4 THEN 'too little work' WHEN s > 0 AND r = 0 THEN 'unread search' ELSE 'accepted' END AS verdict FROM c WHERE tool = 'answer'""")
-def answer_gates(spark, sf_dir):
-    return session.gate(_log(spark, sf_dir))
-
-
 @query(f"""WITH {_LOG}, a AS (SELECT session_id, max(seq) AS seq FROM l WHERE tool = 'answer' GROUP BY 1), f AS (SELECT l.session_id, list_distinct(l.returned) AS ids FROM l JOIN a ON a.session_id = l.session_id AND a.seq = l.seq),
 p AS (SELECT DISTINCT unnest(flatten(map_values(planted))) AS id FROM answer_key), e AS (SELECT session_id, unnest(ids) AS id FROM f) SELECT f.session_id, count(p.id) > 0 AS found, CAST(count(e.id) AS BIGINT) AS cited, CAST(count(p.id) AS BIGINT) AS planted FROM f LEFT JOIN e ON e.session_id = f.session_id LEFT JOIN p ON p.id = e.id GROUP BY 1""")
 def session_score(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
-from lettermill.operators import engines, fill, graph, layout, pseudonyms, search, session
+from lettermill.operators import engines, fill, graph, layout, pseudonyms, search, session, verify
 from lettermill.sources import archive, files
 
 MAIL = "email_id string, thread_id string, topic string, subject string, body string, `from` string"
@@ -168,6 +168,55 @@ def test_the_scan_sees_every_form(spark, left):
         pseudonyms.verified(spark.createDataFrame([("e", f"so {left} said")], "email_id string, body string"), people, was)
 
 
+# ---- verdicts
+
+
+def _matched(spark, sets, n=3, probers="ab"):
+    """Verdicts of one chain: every prober matched exactly these subsets."""
+    masks = {sum(1 << int(c) for c in x) for x in sets}
+    return spark.createDataFrame([(1, n, m, p, m in masks) for m in range(1, 1 << n) for p in probers], "chain int, n int, mask long, prober string, matched boolean")
+
+
+@pytest.mark.parametrize("sets,mask", [(("02", "012"), 5), (("01", "012"), None), (("2", "02", "012"), None), (("02", "12", "012"), 5), (("012",), None)])
+def test_delivered_sets(spark, sets, mask):
+    assert [r.mask for r in verify.delivered(_matched(spark, sets)).collect()] == ([] if mask is None else [mask])
+
+
+def test_a_fact_thread_comes_first(spark):
+    facts = spark.createDataFrame([(1, 1)], "chain int, thread int")
+    assert verify.delivered(_matched(spark, ("02", "12", "012")), facts).first().mask == 6
+
+
+def test_decisions(spark):
+    v = _matched(spark, ("01",), n=2)
+    assert verify.decide(v).first().keep
+    one = v.withColumn("matched", F.when((F.col("mask") == 1) & (F.col("prober") == "b"), True).otherwise(F.col("matched")))
+    assert rows(verify.leaks(one), "mask", "prober") == [(1, "b")] and not verify.decide(one).first().keep
+    missed = v.withColumn("matched", F.when(F.col("prober") == "b", None).otherwise(F.col("matched")))
+    assert not verify.decide(missed).first().keep and verify.decide(missed, "any").first().keep
+    assert verify.decide(v.limit(0)).count() == 0 and verify.subsets(spark.createDataFrame([(1, 3)], "chain int, n int")).count() == 7
+
+
+def test_scores_by_verdicts(spark):
+    a = spark.createDataFrame([("s", False, ["x", "y"]), ("t", False, ["x"]), ("u", True, ["x"]), ("w", False, [])], "sample string, control boolean, candidates array<string>")
+    v = spark.createDataFrame([("s", "y", True), ("s", "x", None), ("t", "x", False), ("u", "x", True)], "sample string, candidate string, matched boolean")
+    assert rows(verify.scored(a, v), "sample", "found", "correct", "false_positive") == [("s", True, True, False), ("t", True, False, True), ("u", True, False, True), ("w", False, False, False)]
+    assert verify.scored(a, v).where("sample = 's'").first().rank == 2
+
+
+def test_pages_gates_and_final_state(spark):
+    calls = [("s", 0, "list", "2"), ("s", 1, "list", "2"), ("s", 2, "list", "9"), ("s", 3, "list", "1"), ("s", 4, "answer", None)]
+    log = spark.createDataFrame([(*c, [] if c[2] == "answer" else None, None) for c in calls], LOG)
+    assert rows(session.pages(log, 2), "seq", "status") == [(0, "ok"), (1, "already"), (2, "invalid"), (3, "complete")]
+    assert session.gates(log, 2, budget=50, need=0).first().verdict == "accepted" and session.gates(log, 3, budget=50, need=0).first().verdict == "scan incomplete"
+    assert session.gates(log, 3, budget=4).first().verdict == "accepted"  # the budget is used up
+    assert session.final_state(log, 1, 1, extra=0).first().state == "forced empty" and session.final_state(log, 4, 1).first().state == "answered"
+    three = [("s", i, "search", f"words {i}", ["e_1"], None) for i in range(4)]
+    answer = ("s", 9, "answer", "secret", ["e_1"], None)
+    assert session.gates(spark.createDataFrame([*three, answer], LOG), 0, 50).first().verdict == "unread search"
+    assert session.gates(spark.createDataFrame([*three, ("s", 5, "read", "e_1", [], None), answer], LOG), 0, 50).first().verdict == "accepted"
+
+
 # ---- engines, layout
 
 
