@@ -114,12 +114,12 @@ def prefix_login(spark, sf_dir):
     return hits.groupBy("login").agg(F.min(F.struct(F.length("s"), "s", "f")).alias("b")).select("login", F.concat_ws(" ", "b.f", "b.s").alias("person"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT message_id AS a, t.x AS b FROM parsed_emails, unnest(to_addrs) AS t(x) WHERE date IS NOT NULL), u AS (SELECT from_addr AS a, x AS b FROM parsed_emails, unnest(to_addrs) AS t(x) WHERE from_addr LIKE '%@tessel.example' AND x LIKE '%@tessel.example'),
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT from_addr AS a, x AS b FROM parsed_emails, unnest(to_addrs) AS t(x) WHERE from_addr IS NOT NULL AND x IS NOT NULL AND split_part(from_addr, '@', 2) = split_part(x, '@', 2)),
 s AS (SELECT a, b FROM u UNION SELECT b, a FROM u), r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def components(spark, sf_dir):
-    """Groups of addresses of one firm linked by mail."""
-    p = table(spark, sf_dir, "parsed_emails").select(F.col("from_addr").alias("a"), F.explode("to_addrs").alias("b")).where("a LIKE '%@tessel.example' AND b LIKE '%@tessel.example'")
-    return graph.components(p)
+    """Groups of addresses linked by mail inside their firm."""
+    p = table(spark, sf_dir, "parsed_emails").where("from_addr IS NOT NULL").select(F.col("from_addr").alias("a"), F.explode("to_addrs").alias("b"))
+    return graph.components(p.where(F.substring_index("a", "@", -1) == F.substring_index("b", "@", -1)))
 
 
 @query(rf"""{M}, p AS (SELECT DISTINCT regexp_extract("from", '^([a-z]+)\.([a-z]+)@', 1) AS f, regexp_extract("from", '^([a-z]+)\.([a-z]+)@', 2) AS s FROM mails WHERE regexp_matches("from", '^[a-z]+\.[a-z]+@')), k AS (SELECT f, s, f || ' ' || s AS person FROM p),
@@ -265,11 +265,11 @@ def citation_pr(spark, sf_dir):
     return a.join(p, "thread_id", "left").groupBy("session_id").agg(F.count("*").alias("cited"), F.count("p").alias("planted"), F.round(F.count("p") / F.count("*"), 3).alias("precision"))
 
 
-@query(f"{M} SELECT sha256(string_agg(email_id, '' ORDER BY email_id))[1:16] AS digest, count(*) AS n FROM mails WHERE email_id LIKE 'p_%' AND starts_with(email_id, 'p_')")
+@query(f"{M} SELECT CAST(sum(CAST('0x' || substr(md5(email_id || chr(10) || body), 1, 10) AS BIGINT)) AS BIGINT) AS digest, count(*) AS n FROM mails")
 def digest(spark, sf_dir):
-    """Digest of the sorted planted ids, a short list."""
-    p = mails(spark, sf_dir).where(F.col("email_id").startswith("p_")).select("email_id")
-    return p.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("email_id")), ""), 256), 1, 16).alias("digest"), F.count("*").alias("n"))
+    """Content digest of all mails that no order of rows or partitions changes: a sum of row digests."""
+    h = F.conv(F.substring(F.md5(F.concat("email_id", F.lit("\n"), "body")), 1, 10), 16, 10).cast("long")
+    return mails(spark, sf_dir).agg(F.sum(h).alias("digest"), F.count("*").alias("n"))
 
 
 # ---- verification of planted chains
@@ -286,9 +286,18 @@ def power_set(spark, sf_dir):
     return k.select("chain", F.explode(F.expr("sequence(1L, shiftleft(1L, n) - 1L)")).alias("mask")).withColumn("size", F.bit_count("mask").cast("long"))
 
 
-@query("SELECT pattern, count(*) AS chains, sum((n = 3)::INT) AS of_three, count(secret) AS with_secret, count(kind) AS with_kind FROM answer_key GROUP BY 1")
+@query("""WITH c AS (SELECT *, cardinality(planted) AS k, list_sum(list_transform(map_values(planted), lambda x: len(x))) AS msgs, list_min(list_transform(map_values(planted), lambda x: len(x))) AS fewest, cardinality(names) AS cast_size FROM answer_key)
+SELECT pattern, count(*) AS chains, count(*) FILTER (n = 2) AS of_two, count(*) FILTER (n = 3) AS of_three, count(secret) AS with_secret, count(stake) AS with_stake, count(kind) AS with_kind, count(DISTINCT topic) AS topics, count(*) FILTER (k = n) AS all_clues, count(*) FILTER (fewest = 0) AS empty_clue, CAST(sum(msgs) AS BIGINT) AS messages,
+count(*) FILTER (msgs > k) AS with_replies, CAST(sum(cast_size) AS BIGINT) AS cast_members, count(*) FILTER (cast_size < 2) AS cast_short, count(*) FILTER (secret IS NOT NULL AND stake IS NOT NULL AND k = n AND fewest > 0) AS whole FROM c GROUP BY 1""")
 def generation_report(spark, sf_dir):
-    return table(spark, sf_dir, "answer_key").groupBy("pattern").agg(F.count("*").alias("chains"), F.sum((F.col("n") == 3).cast("long")).alias("of_three"), F.count("secret").alias("with_secret"), F.count("kind").alias("with_kind"))
+    """Fourteen counts of the chains of each pattern."""
+    sizes = F.transform(F.map_values("planted"), lambda x: F.size(x))
+    c = table(spark, sf_dir, "answer_key").withColumn("k", F.size("planted")).withColumn("msgs", F.aggregate(sizes, F.lit(0), lambda a, x: a + x)).withColumn("fewest", F.array_min(sizes)).withColumn("cast_size", F.size("names"))
+    n = lambda e: F.count(F.when(F.expr(e), 1))
+    return c.groupBy("pattern").agg(
+        F.count("*").alias("chains"), n("n = 2").alias("of_two"), n("n = 3").alias("of_three"), F.count("secret").alias("with_secret"), F.count("stake").alias("with_stake"), F.count("kind").alias("with_kind"), F.count_distinct("topic").alias("topics"), n("k = n").alias("all_clues"), n("fewest = 0").alias("empty_clue"),
+        F.sum("msgs").alias("messages"), n("msgs > k").alias("with_replies"), F.sum("cast_size").alias("cast_members"), n("cast_size < 2").alias("cast_short"), n("secret IS NOT NULL AND stake IS NOT NULL AND k = n AND fewest > 0").alias("whole"),
+    )
 
 
 @query("SELECT slot, value, count(*) AS drawn, count(*) FILTER (n = 3) AS of_three FROM (SELECT n, unnest(map_keys(names)) AS slot, unnest(map_values(names)) AS value FROM answer_key) GROUP BY 1, 2")
@@ -411,15 +420,6 @@ def per_group_first_n(spark, sf_dir):
     return m.withColumn("k", F.row_number().over(Window.partitionBy("topic").orderBy("email_id"))).where("k <= 5").select("topic", "email_id")
 
 
-@query(f"{M}, s AS (SELECT \"from\" AS s, min(email_id) AS email_id, count(*) AS n, min(thread_id) AS thread_id FROM mails GROUP BY 1), t AS (SELECT thread_id, count(*) AS k FROM mails GROUP BY 1) SELECT s.s AS sender, s.email_id, k - 1 AS others FROM s JOIN t USING (thread_id) WHERE n = 1 AND k <= 4")
-def quiet_senders(spark, sf_dir):
-    """Senders of exactly one mail with at most three others in its thread."""
-    m = mails(spark, sf_dir)
-    s = m.groupBy(F.col("from").alias("sender")).agg(F.min("email_id").alias("email_id"), F.count("*").alias("n"), F.min("thread_id").alias("thread_id")).where("n = 1")
-    t = m.groupBy("thread_id").agg(F.count("*").alias("k"))
-    return s.join(t, "thread_id").where("k <= 4").select("sender", "email_id", (F.col("k") - 1).alias("others"))
-
-
 @query("SELECT split_part(addr, '@', 2) AS domain, count(*) AS senders FROM (SELECT DISTINCT from_addr AS addr FROM parsed_emails) GROUP BY 1 ORDER BY senders DESC, domain LIMIT 1")
 def modal_domain(spark, sf_dir):
     p = table(spark, sf_dir, "parsed_emails").select("from_addr").distinct().groupBy(F.substring_index("from_addr", "@", -1).alias("domain")).agg(F.count("*").alias("senders"))

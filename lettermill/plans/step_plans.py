@@ -50,12 +50,6 @@ def whole_thread_fill(spark, sf_dir):
     return fill.whole_threads(u, u.select("topic").distinct().withColumn("quota", F.lit(30)))
 
 
-@query(f"{M}, u AS (SELECT thread_id, count(*) AS n, count(DISTINCT \"from\") AS writers FROM mails GROUP BY 1), c AS (SELECT thread_id FROM u WHERE n = 3 AND writers >= 2) SELECT thread_id FROM c ORDER BY md5('3:' || thread_id), thread_id LIMIT 1")
-def seeded_pick(spark, sf_dir):
-    u = mails(spark, sf_dir).groupBy("thread_id").agg(F.count("*").alias("n"), F.count_distinct("from").alias("writers")).where("n = 3 AND writers >= 2")
-    return u.orderBy(F.md5(F.concat(F.lit("3:"), "thread_id")), "thread_id").limit(1).select("thread_id")
-
-
 @query(f"{M}, s AS (SELECT \"from\" AS sender, count(*) AS used, min(email_id) AS email_id FROM mails GROUP BY 1) SELECT sender, used, k FROM (SELECT *, row_number() OVER (ORDER BY used, md5('4:' || sender), sender) AS k FROM s) WHERE k <= 12")
 def least_used_draw(spark, sf_dir):
     s = mails(spark, sf_dir).groupBy(F.col("from").alias("sender")).agg(F.count("*").alias("used"))

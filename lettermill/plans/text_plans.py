@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from lettermill.functions import text as X
 from lettermill.functions.nicknames import FORMAL
-from lettermill.session import bounded, table
+from lettermill.operators.order import numbered
+from lettermill.session import bounded, merged, table
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +66,26 @@ def prose_filter(spark, sf_dir):
     return m.where(ok).select("email_id")
 
 
+MARKS = r"[<>@*\"!\[\]:$]|\.{3}|\s{3}|[a-z]\d|www"
+
+
 def subject_bank(spark, sf_dir):
-    """Subjects of two to seven words that name a matter; each once, by its small letters."""
+    """Subjects of two to seven words that name a matter, each once by its small letters.
+
+    A matter is a word of five letters or more of the label vocabulary's notes.  Subjects with marks of addresses, lists or shouting, in one letter case throughout,
+    of one stop word, or with a word of a registered sender's name are left out.
+    """
     t = X.strip(F.regexp_replace("subject", f"(?iu){X.PREFIXES}", ""))
-    m = mails(spark, sf_dir).where("subject IS NOT NULL").select(t.alias("t")).withColumn("k", F.lower("t"))
-    m = m.where(X.words(F.col("t")).between(2, 7) & ~F.col("t").rlike(r"(?iu)<<|>>|@|http|!{2}|free|click|\s{3,}|\.{3,}|[A-Za-z]+\d+|\*|[\"!\[\]:]|^(?:your|my|our|happy|hello|hi|hey|good)"))
-    m = m.where((F.col("t") != F.upper("t")) & (F.col("t") != F.lower("t")) & F.col("t").rlike(r"(?iu)\b(?:agreement|contract|lease|title|invoice|order|report|memo|notice|letter|policy|plan|draft|review|audit|filing|budget|forecast|deal|purchase|merger|loan|credit|tax|insurance|offer|interview|hearing|deposition)\b"))
-    return m.groupBy("k").agg(F.min("t").alias("subject"), F.count("*").alias("n"))
+    m = mails(spark, sf_dir).where("subject IS NOT NULL").select("email_id", t.alias("t")).withColumn("k", F.lower("t"))
+    m = m.where(X.words(F.col("t")).between(2, 7) & ~F.col("k").rlike(MARKS) & (F.col("t") != F.upper("t")) & (F.col("t") != F.col("k")))
+    s = m.groupBy("k").agg(F.min("t").alias("subject"), F.count("*").alias("n"))
+    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    notes = table(spark, sf_dir, "topics").select(F.explode(toks("note")).alias("w")).where(F.length("w") >= 5).distinct().withColumn("matter", F.lit(1))
+    local = F.regexp_extract(F.lower("from"), r"^([a-z]+[._][a-z]+)@", 1)
+    names = mails(spark, sf_dir).select(F.explode(F.split(local, "[._]")).alias("w")).where("w <> ''").distinct().withColumn("name", F.lit(1))
+    w = s.select("k", F.explode(toks("k")).alias("w")).join(F.broadcast(bounded(notes, 10_000)), "w", "left").join(merged(names), "w", "left")
+    ok = w.groupBy("k").agg(F.count("matter").alias("a"), F.count("name").alias("b")).where("a > 0 AND b = 0").select("k")
+    return s.join(merged(ok), "k")
 
 
 def name_shape(spark, sf_dir):
@@ -117,12 +131,15 @@ def person_key(spark, sf_dir):
 
 
 def case_transfer(spark, sf_dir):
-    return table(spark, sf_dir, "topics").crossJoin(table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(F.col("topic").alias("model")).distinct().where(F.length("model") < 8)).select("topic", "model", X.case_like(F.col("topic"), F.col("model")).alias("out"))
+    """Labels as the earlier label of each mail is cased: the vocabulary's spelling, by the key of the label, in the letter case of what was typed."""
+    vocab = bounded(table(spark, sf_dir, "topics").where("topic IS NOT NULL").select("topic", X.label_key("topic").alias("k")).distinct(), 10_000)
+    m = table(spark, sf_dir, "mailbox").where("topic IS NOT NULL").select(F.col("topic").alias("model")).distinct().withColumn("k", X.label_key("model"))
+    return m.join(F.broadcast(vocab), "k").select("topic", "model", X.case_like(F.col("topic"), F.col("model")).alias("out"))
 
 
 def contact_shapes(spark, sf_dir):
     b = F.col("body")
-    kinds = {"phone": X.PHONE, "zip4": X.ZIP4, "po_box": f"(?iu){X.PO_BOX}", "suite": f"(?iu){X.SUITE}", "ssn": X.SSN, "street": X.STREET}
+    kinds = {"phone": X.PHONE, "zip4": X.ZIP4, "po_box": f"(?iu){X.PO_BOX}", "suite": f"(?iu){X.SUITE}", "ssn": X.SSN, "street": X.STREET, "city_zip": X.CITY_ZIP}
     return mails(spark, sf_dir).select("email_id", *[F.regexp_count(b, F.lit(p)).cast("long").alias(k) for k, p in kinds.items()])
 
 
@@ -132,8 +149,10 @@ def text_windows(spark, sf_dir):
 
 
 def file_bank(spark, sf_dir):
-    hits = mails(spark, sf_dir).select(F.explode(F.regexp_extract_all("body", F.lit(r"(?i)\b([\w-]{2,40}\.(?:doc|xls|pdf|ppt|txt|zip|example))\b"), F.lit(1))).alias("name"))
-    return hits.groupBy("name").agg(F.count("*").alias("n"))
+    """Attachment names as mails list them, a line each, with their number and place in the bank: most frequent first."""
+    hits = mails(spark, sf_dir).select(F.explode(F.regexp_extract_all("body", F.lit(f"(?i){X.ATTACHMENT}"), F.lit(1))).alias("name")).select(F.trim("name").alias("name"))
+    b = hits.groupBy("name").agg(F.count("*").alias("n")).withColumn("m", -F.col("n")).withColumn("low", F.lower("name"))
+    return numbered(b, "m", "low", "name", name="place").select("name", "n", "place")
 
 
 def signed_name(spark, sf_dir):
@@ -147,26 +166,39 @@ def signed_name(spark, sf_dir):
 def greeting_signoff(spark, sf_dir):
     own = X.own_body(F.col("body"))
     first = F.lower(F.trim(F.split(own, "\n")[0]))
-    g = F.regexp_extract(first, r"^(hi|hello|hey|dear|good morning|good afternoon)\b", 1)
-    greet = F.when(g != "", g).when(first.rlike(r"^[a-z]+(?: and [a-z]+)?[,:\-]\s*") & (F.size(F.split(first, r" +")) <= 4), F.lit("name only")).otherwise(F.lit("none"))
+    g = F.regexp_extract(first, X.GREETING, 1)
+    greet = F.when(g != "", g).when(first.rlike(X.NAME_ONLY) & (F.size(F.split(first, r" +")) <= 4), F.lit("name only")).otherwise(F.lit("none"))
     lines = F.split(own, "\n")
     tail = F.lower(F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)), " "))
-    s = F.regexp_extract(tail, r"\b(thanks|thank you|thx|regards|best regards|best|sincerely|cheers|take care)\b", 1)
+    s = F.regexp_extract(tail, X.SIGN_OFF, 1)
     return mails(spark, sf_dir).select(greet.alias("greeting"), F.when(s != "", s).otherwise("none").alias("sign_off")).groupBy("greeting", "sign_off").agg(F.count("*").alias("n"))
 
 
+def _has(col: F.Column, pattern: str, flags: str) -> F.Column:
+    return col.rlike(f"(?d{flags}){pattern}")
+
+
 def style_shares(spark, sf_dir):
+    """Shares of texts with each habit, planted and background; two spaces count among texts of two sentence ends or more."""
     t = X.own_body(F.col("body"))
-    flag = lambda c: F.round(F.avg(c.cast("int")), 6)
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
     m = mails(spark, sf_dir).select(F.when(F.col("email_id").startswith("p_"), "planted").otherwise("background").alias("set"), t.alias("t"), X.words(t).alias("w"))
     c = F.col("t")
+    several = F.regexp_count(c, F.lit(r"[a-z0-9)]\.\s+[A-Z]")) >= 2
+    habits = [share(F.when(several, _has(c, p, f)) if name == "two_spaces" else _has(c, p, f)).alias(name) for name, p, f in X.HABITS]
     return m.groupBy("set").agg(
-        F.count("*").alias("n"), flag(F.array_max(F.transform(F.split(c, "\n"), F.length)) > 100).alias("long_line"), flag(c.rlike(r"[a-z0-9)]\.  [A-Z]")).alias("two_spaces"),
-        flag(c.contains("!")).alias("exclamation"), flag(c.rlike(r"\.\.\.| - | -- ")).alias("dots_dash"), flag(F.col("w") > 150).alias("over_150"), flag(F.col("w") < 20).alias("under_20"),
-        flag(c.rlike(r"(?imd)^\s*thanks,\s*$")).alias("thanks_line"), F.percentile("w", F.lit(0.5)).cast("long").alias("median_words"),
+        F.count("*").alias("n"), share(F.array_max(F.transform(F.split(c, "\n"), F.length)) > 100).alias("long_line"), *habits,
+        share(F.col("w") > 150).alias("over_150"), share(F.col("w") < 20).alias("under_20"), F.percentile("w", F.lit(0.5)).cast("long").alias("median_words"),
     )
 
 
+def mailbox_profile(spark, sf_dir):
+    """Rates of forms over own texts and whole bodies, one row a form."""
+    m = mails(spark, sf_dir).select(X.own_body(F.col("body")).alias("own"), "body")
+    flags = F.explode(F.array(*[F.struct(F.lit(name).alias("form"), F.when(F.col("own") != "", _has(F.col("own"), p, f)).alias("hit") if over == "own" else _has(F.col("body"), p, f).alias("hit")) for name, over, p, f in X.PROFILE])).alias("x")
+    return m.select(flags).select("x.*").where("hit IS NOT NULL").groupBy("form").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"))
+
+
 def order_stats(spark, sf_dir):
     """Quartiles by index, not interpolated, of the words of own texts."""
     w = mails(spark, sf_dir).select(X.words(X.own_body(F.col("body"))).cast("long").alias("w")).groupBy("w").agg(F.count("*").alias("k"))
@@ -184,10 +216,14 @@ def hallucination_guard(spark, sf_dir):
 
 
 def role_guard(spark, sf_dir):
-    """Spellings whose words name a role or an organisation and no person."""
-    roles = ["bank", "press", "hospital", "department", "power", "services", "associates", "insurance", "group", "manufacturing", "notices"]
+    """What the words of a spelling say it is: an organisation, a role, kin, a pronoun, or by none of them a person."""
     toks = F.regexp_extract_all(F.lower("from"), F.lit(r"([a-z]+)"), F.lit(1))
-    return table(spark, sf_dir, "mailbox").select("from").distinct().select(F.col("from").alias("name"), F.exists(toks, lambda t: t.isin(*roles)).alias("organisation"))
+    kind = F
+    for k, ws in X.GUARD_WORDS.items():
+        words = F.array(*map(F.lit, ws))
+        every = F.size(F.array_except(toks, words)) == 0
+        kind = kind.when(F.arrays_overlap(toks, words) if k in ("organisation", "role") else (F.size(toks) > 0) & every, F.lit(k))
+    return table(spark, sf_dir, "mailbox").select("from").distinct().select(F.col("from").alias("name"), kind.otherwise(F.lit("person")).alias("kind"))
 
 
 def template_fill(spark, sf_dir):
@@ -247,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         eligible_pool, gate_bulk_auto, alpha_ratio, own_body, own_body_parser, own_body_style, reply_head, token_band, prose_filter, subject_bank, name_shape, word_case_stats, canon_label, thread_id_hash,
-        address_normalise, person_key, case_transfer, contact_shapes, text_windows, file_bank, signed_name, greeting_signoff, style_shares, order_stats, hallucination_guard, role_guard, template_fill, thread_cards,
+        address_normalise, person_key, case_transfer, contact_shapes, text_windows, file_bank, signed_name, greeting_signoff, style_shares, mailbox_profile, order_stats, hallucination_guard, role_guard, template_fill, thread_cards,
         text_overlap, leak_words, stem_overlap, timeline_check, point_split, json_candidates,
     )
 }

@@ -42,7 +42,6 @@ M = MAILS.rstrip()
 _KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(raw), '\s*(?:&|and)\s*', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\s+', ' ', 'g')"
 _ADDR = r"CASE WHEN regexp_extract(lower(raw), '([\w.+''-]+@[\w.-]+\w)', 1) <> '' THEN regexp_extract(lower(raw), '([\w.+''-]+@[\w.-]+\w)', 1) ELSE trim(lower(raw)) END"
 _STOP = "(" + ", ".join(q(w) for w in sorted(set(X.STOP_WORDS))) + ")"
-_ROLES = ["bank", "press", "hospital", "department", "power", "services", "associates", "insurance", "group", "manufacturing", "notices"]
 
 
 def tokens(x: str) -> str:
@@ -57,6 +56,17 @@ def _count(p: str) -> str:
     return f"CAST(len(regexp_extract_all(body, {q(p)})) AS BIGINT)"
 
 
+_NORM = r"trim(regexp_replace(lower(replace(replace({0}, '_', ' '), '&', 'and')), '\s+', ' ', 'g'))"
+
+
+def _has(col: str, p: str, f: str) -> str:
+    return f"regexp_matches({col}, {q((f'(?{f})' if f else '') + p)})"
+
+
+_HABITS = ", ".join(f"round(avg(CASE WHEN several THEN {_has('t', p, f)}::INT END), 6) AS {name}" if name == "two_spaces" else f"round(avg({_has('t', p, f)}::INT), 6) AS {name}" for name, p, f in X.HABITS)
+_PROFILE = " UNION ALL ".join(f"SELECT '{name}' AS form, count(*) AS n, round(avg({_has(over, p, f)}::INT), 6) AS rate FROM o{' WHERE own <> %s' % q('') if over == 'own' else ''}" for name, over, p, f in X.PROFILE)
+_KIND = "CASE " + " ".join(f"WHEN len(t) > 0 AND len(list_filter(t, lambda x: x {'IN' if k in ('organisation', 'role') else 'NOT IN'} ({', '.join(map(q, ws))}))) {'> 0' if k in ('organisation', 'role') else '= 0'} THEN '{k}'" for k, ws in X.GUARD_WORDS.items()) + " ELSE 'person' END"
+
 SQL = {
     "eligible_pool": f"""{M}, e AS (
   SELECT email_id, CASE WHEN head <> '' THEN {strip("head || chr(10) || own")} ELSE own END AS t
@@ -78,11 +88,11 @@ SELECT email_id, n_words, n_tokens, prefix_hash FROM f WHERE r = 1 AND n_tokens
 SELECT email_id FROM l WHERE {words('t')} BETWEEN 25 AND 200 AND length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 0.65 * length(t) AND length(regexp_replace(t, '[^0-9]', '', 'g')) <= 0.04 * length(t)
  AND length(regexp_replace(t, '[^;]', '', 'g')) <= 3 AND len(regexp_extract_all(t, '[A-Z][a-z]+ [A-Z][a-z]+')) <= 6
  AND len(list_filter(lines, lambda x: (regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}')) OR (contains(x, ':') AND length(x) < 40))) <= 0.3 * len(lines)""",
-    "subject_bank": rf"""{M}, s AS (SELECT {strip('regexp_replace(subject, %s, %s)' % (q('(?i)' + X.PREFIXES), q('')))} AS t FROM mails WHERE subject IS NOT NULL)
-SELECT lower(t) AS k, min(t) AS subject, count(*) AS n FROM s
-WHERE {words('t')} BETWEEN 2 AND 7 AND NOT regexp_matches(t, '(?i)<<|>>|@|http|!{{2}}|free|click|\s{{3,}}|\.{{3,}}|[A-Za-z]+\d+|\*|["!\[\]:]|^(?:your|my|our|happy|hello|hi|hey|good)')
- AND t <> upper(t) AND t <> lower(t) AND regexp_matches(t, '(?i)\b(?:agreement|contract|lease|title|invoice|order|report|memo|notice|letter|policy|plan|draft|review|audit|filing|budget|forecast|deal|purchase|merger|loan|credit|tax|insurance|offer|interview|hearing|deposition)\b')
-GROUP BY 1""",
+    "subject_bank": rf"""{M}, s AS (SELECT {strip('regexp_replace(subject, %s, %s)' % (q('(?i)' + X.PREFIXES), q('')))} AS t FROM mails WHERE subject IS NOT NULL),
+g AS (SELECT lower(t) AS k, min(t) AS subject, count(*) AS n FROM s WHERE {words('t')} BETWEEN 2 AND 7 AND NOT regexp_matches(lower(t), '[<>@*"!\[\]:$]|\.{{3}}|\s{{3}}|[a-z]\d|www') AND t <> upper(t) AND t <> lower(t) GROUP BY 1),
+matter AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(note), '[a-z]+')) AS w FROM topics) WHERE length(w) >= 5),
+names AS (SELECT DISTINCT unnest(string_split_regex(regexp_extract(lower("from"), '^([a-z]+[._][a-z]+)@', 1), '[._]')) AS w FROM mails)
+SELECT k, subject, n FROM g WHERE EXISTS (SELECT 1 FROM matter WHERE list_contains(regexp_extract_all(k, '[a-z]+'), w)) AND NOT EXISTS (SELECT 1 FROM names WHERE w <> '' AND list_contains(regexp_extract_all(k, '[a-z]+'), w))""",
     "name_shape": """SELECT DISTINCT "from" AS name FROM mailbox WHERE regexp_matches("from", '^[A-Z][a-z''-]+ (?:[A-Z]\\. )?[A-Z][A-Za-z''-]+$')""",
     "word_case_stats": rf"""{M}, t AS (SELECT unnest(regexp_extract_all(regexp_replace(body, '\S+@\S+', ' ', 'g'), '\p{{L}}+')) AS w FROM mails), w AS (SELECT w FROM t WHERE regexp_matches(w, '^[A-Za-z][a-z]+$')),
 s AS (SELECT lower(w) AS word, CAST(sum((w = lower(w))::INT) AS BIGINT) AS lower_n, CAST(sum((w <> lower(w))::INT) AS BIGINT) AS upper_n FROM w GROUP BY 1)
@@ -95,26 +105,27 @@ SELECT r.raw, coalesce(b.label, '?') AS label FROM r LEFT JOIN b ON b.raw = r.ra
 FROM (SELECT raw, addr, list_filter(string_split(string_split(addr, '@')[1], '.'), lambda x: regexp_matches(x, '^[A-Za-z]+$')) AS p FROM (SELECT raw, {_ADDR} AS addr FROM (SELECT DISTINCT "from" AS raw FROM mailbox)))""",
     "person_key": f"""WITH n AS (SELECT DISTINCT "from" AS name FROM mailbox WHERE regexp_matches("from", '^[A-Z][a-z]+ [A-Z][A-Za-z''-]+$')), f(short, formal) AS (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in FORMAL.items())})
 SELECT name, coalesce(formal, lower(string_split(name, ' ')[1])) AS first_key, translate(lower(string_split(name, ' ')[2]), '''-', '') AS last_key FROM n LEFT JOIN f ON short = lower(string_split(name, ' ')[1])""",
-    "case_transfer": r"""SELECT t.topic, m.model, CASE WHEN regexp_matches(m.model, '\p{L}') AND m.model = upper(m.model) THEN upper(t.topic) WHEN regexp_matches(m.model, '\p{L}') AND m.model = lower(m.model) THEN lower(t.topic) ELSE t.topic END AS out
-FROM topics t, (SELECT DISTINCT topic AS model FROM mailbox WHERE topic IS NOT NULL AND length(topic) < 8) m""",
-    "contact_shapes": f"""{M} SELECT email_id, {_count(X.PHONE)} AS phone, {_count(X.ZIP4)} AS zip4, {_count('(?i)' + X.PO_BOX)} AS po_box, {_count('(?i)' + X.SUITE)} AS suite, {_count(X.SSN)} AS ssn, {_count(X.STREET)} AS street FROM mails""",
+    "case_transfer": rf"""WITH m AS (SELECT DISTINCT topic AS model FROM mailbox WHERE topic IS NOT NULL), v AS (SELECT DISTINCT topic FROM topics WHERE topic IS NOT NULL)
+SELECT v.topic, m.model, CASE WHEN regexp_matches(m.model, '\p{{L}}') AND m.model = upper(m.model) THEN upper(v.topic) WHEN regexp_matches(m.model, '\p{{L}}') AND m.model = lower(m.model) THEN lower(v.topic) ELSE v.topic END AS out
+FROM m JOIN v ON {_NORM.format('m.model')} = {_NORM.format('v.topic')}""",
+    "contact_shapes": f"""{M} SELECT email_id, {_count(X.PHONE)} AS phone, {_count(X.ZIP4)} AS zip4, {_count('(?i)' + X.PO_BOX)} AS po_box, {_count('(?i)' + X.SUITE)} AS suite, {_count(X.SSN)} AS ssn, {_count(X.STREET)} AS street, {_count(X.CITY_ZIP)} AS city_zip FROM mails""",
     "text_windows": """WITH d AS (SELECT doc_id, text, CAST(greatest(ceil((length(text) - 800) / 760), 0) AS BIGINT) AS last FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, text, unnest(range(0, last + 1)) AS win FROM d)
 SELECT doc_id, win, CAST(length(text[win * 760 + 1 : win * 760 + 800]) AS BIGINT) AS n, md5(text[win * 760 + 1 : win * 760 + 800]) AS h FROM w""",
-    "file_bank": rf"""{M}, f AS (SELECT unnest(regexp_extract_all(body, '(?i)\b([\w-]{{2,40}}\.(?:doc|xls|pdf|ppt|txt|zip|example))\b', 1)) AS name FROM mails) SELECT name, count(*) AS n FROM f GROUP BY 1""",
+    "file_bank": f"""{M}, f AS (SELECT trim(unnest(regexp_extract_all(body, {q('(?i)' + X.ATTACHMENT)}, 1))) AS name FROM mails), g AS (SELECT name, count(*) AS n FROM f GROUP BY 1) SELECT name, n, row_number() OVER (ORDER BY n DESC, lower(name), name) AS place FROM g""",
     "signed_name": rf"""{M}, l AS (SELECT email_id, list_filter(string_split({OWN}, chr(10)), lambda x: trim(x) <> '') AS l FROM mails),
 s AS (SELECT email_id, list_filter(list_transform(l[greatest(len(l) - 2, 1):len(l)], lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Z][a-z]+$') AND lower(x) NOT IN ('thanks', 'thx', 'regards', 'best', 'cheers', 'sincerely')) AS n FROM l)
 SELECT email_id, coalesce(n[-1], '') AS signed FROM s""",
     "greeting_signoff": rf"""{M}, o AS (SELECT {OWN} AS own FROM mails), f AS (SELECT string_split(own, chr(10)) AS lines, lower(trim(string_split(own, chr(10))[1])) AS first FROM o),
-g AS (SELECT first, regexp_extract(first, '^(hi|hello|hey|dear|good morning|good afternoon)\b', 1) AS g, regexp_extract(lower(array_to_string(lines[greatest(len(lines) - 2, 1):len(lines)], ' ')), '\b(thanks|thank you|thx|regards|best regards|best|sincerely|cheers|take care)\b', 1) AS s FROM f)
-SELECT CASE WHEN g <> '' THEN g WHEN regexp_matches(first, '^[a-z]+(?: and [a-z]+)?[,:\-]\s*') AND len(regexp_split_to_array(first, ' +')) <= 4 THEN 'name only' ELSE 'none' END AS greeting, CASE WHEN s <> '' THEN s ELSE 'none' END AS sign_off, count(*) AS n FROM g GROUP BY 1, 2""",
+g AS (SELECT first, regexp_extract(first, {q(X.GREETING)}, 1) AS g, regexp_extract(lower(array_to_string(lines[greatest(len(lines) - 2, 1):len(lines)], ' ')), {q(X.SIGN_OFF)}, 1) AS s FROM f)
+SELECT CASE WHEN g <> '' THEN g WHEN regexp_matches(first, {q(X.NAME_ONLY)}) AND len(regexp_split_to_array(first, ' +')) <= 4 THEN 'name only' ELSE 'none' END AS greeting, CASE WHEN s <> '' THEN s ELSE 'none' END AS sign_off, count(*) AS n FROM g GROUP BY 1, 2""",
     "style_shares": rf"""{M}, t AS (SELECT CASE WHEN starts_with(email_id, 'p_') THEN 'planted' ELSE 'background' END AS "set", {OWN} AS t FROM mails), w AS (SELECT *, {words('t')} AS w FROM t)
-SELECT "set", count(*) AS n, round(avg((list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) > 100)::INT), 6) AS long_line, round(avg(regexp_matches(t, '[a-z0-9)]\.  [A-Z]')::INT), 6) AS two_spaces,
- round(avg(contains(t, '!')::INT), 6) AS exclamation, round(avg(regexp_matches(t, '\.\.\.| - | -- ')::INT), 6) AS dots_dash, round(avg((w > 150)::INT), 6) AS over_150, round(avg((w < 20)::INT), 6) AS under_20,
- round(avg(regexp_matches(t, '(?im)^\s*thanks,\s*$')::INT), 6) AS thanks_line, CAST(trunc(quantile_cont(w, 0.5)) AS BIGINT) AS median_words FROM w GROUP BY 1""",
+SELECT "set", count(*) AS n, round(avg((list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) > 100)::INT), 6) AS long_line, {_HABITS}, round(avg((w > 150)::INT), 6) AS over_150, round(avg((w < 20)::INT), 6) AS under_20, CAST(trunc(quantile_cont(w, 0.5)) AS BIGINT) AS median_words
+FROM (SELECT *, len(regexp_extract_all(t, '[a-z0-9)]\.\s+[A-Z]')) >= 2 AS several FROM w) GROUP BY 1""",
+    "mailbox_profile": f"{M}, o AS (SELECT {OWN} AS own, body FROM mails) {_PROFILE}",
     "order_stats": f"""{M}, w AS (SELECT {words(OWN)} AS w FROM mails), r AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i, count(*) OVER () AS n FROM w)
 SELECT n, CAST(max(w) FILTER (i = n // 4) AS BIGINT) AS p25, CAST(max(w) FILTER (i = n // 2) AS BIGINT) AS median, CAST(max(w) FILTER (i = 3 * n // 4) AS BIGINT) AS p75 FROM r GROUP BY n""",
     "hallucination_guard": f"""{M}, f AS (SELECT DISTINCT email_id, f.name AS name FROM (SELECT email_id, unnest(found) AS f FROM name_audit)) SELECT email_id, name, instr(lower(body), lower(name)) > 0 AS kept FROM f JOIN mails USING (email_id)""",
-    "role_guard": f"""SELECT DISTINCT "from" AS name, len(list_intersect(regexp_extract_all(lower("from"), '[a-z]+'), [{', '.join(map(q, _ROLES))}])) > 0 AS organisation FROM mailbox""",
+    "role_guard": f"""SELECT name, {_KIND} AS kind FROM (SELECT DISTINCT "from" AS name, regexp_extract_all(lower("from"), '[a-z]+') AS t FROM mailbox)""",
     "template_fill": "SELECT topic, 'Is ' || topic || ' named by: ' || coalesce(note, '-') || '?' AS prompt FROM topics",
     "thread_cards": rf"""{M} SELECT email_id, '[' || "date" || '] ' || "from" || ' | ' || coalesce(subject, '') || ' | ' || regexp_replace(body, '\s+', ' ', 'g')[1:60] AS card FROM mails""",
     "text_overlap": f"""WITH p AS (SELECT message_id, max(subject) AS s, max(body) AS b FROM parsed_emails WHERE subject IS NOT NULL AND body IS NOT NULL GROUP BY 1),
