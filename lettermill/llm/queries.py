@@ -96,7 +96,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their wanted tokens with all their documents used as often as allowed."""
     docs, mix = cut(_sized(spark, sf_dir), "sized"), table(spark, sf_dir, "mix_targets")
     # the raked and drawn mix stays under the target of every source that cannot reach it; the exact reach sets these apart from sources the draw misses by a document
-    return mixing.report(docs, mix, mixing.drawn(docs, mix)).where("got < want AND short").select("mix_id", "source")
+    return mixing.report(docs, mix, cut(mixing.drawn(docs, mix), "drawn")).where("got < want AND short").select("mix_id", "source")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted, reachable and drawn tokens of each source, and the share it really got."""
     docs, mix = cut(_sized(spark, sf_dir), "sized"), table(spark, sf_dir, "mix_targets")
-    return mixing.report(docs, mix, mixing.drawn(docs, mix))
+    return mixing.report(docs, mix, cut(mixing.drawn(docs, mix), "drawn"))
 
 
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,16 +170,13 @@ def fit(rows: DataFrame, n_topics: int) -> dict[str, np.ndarray]:
         parts = rows.groupBy("shard").applyInPandas(one, "rows binary, delta binary, squares binary, rest binary").collect()
         if not parts:
             return model
-        touched = np.zeros(BUCKETS, np.float32)
-        dE, dg = np.zeros_like(model["E"]), np.zeros(BUCKETS, np.float32)
+        n = np.zeros(BUCKETS, np.float32)
+        for p in parts:
+            n[np.frombuffer(p["rows"], np.int32)] += 1
         for p in parts:
             i = np.frombuffer(p["rows"], np.int32)
-            dE[i] += np.frombuffer(p["delta"], np.float16).reshape(len(i), DIM)
-            dg[i] += np.frombuffer(p["squares"], np.float32)
-            touched[i] += 1
-        n = np.maximum(touched, 1)
-        model["E"] += dE / n[:, None]
-        model["gE"] += dg / n
+            model["E"][i] += np.frombuffer(p["delta"], np.float16).reshape(len(i), DIM) / n[i, None]
+            model["gE"][i] += np.frombuffer(p["squares"], np.float32) / n[i]
         rest = np.mean([np.frombuffer(p["rest"], np.float32) for p in parts], axis=0)
         at = 0
         for k in ("W", "b", "gW", "gb"):
@@ -193,7 +190,8 @@ def scores(texts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """The columns of ``texts`` but its last, ``text``, and ``n`` and ``z``: the number of terms and the sum of their logits."""
     spark = texts.sparkSession
     n_topics = model["W"].shape[1]
-    table = spark.sparkContext.broadcast((model["E"] @ model["W"]).astype(np.float16))  # fixed size: BUCKETS rows
+    # fixed size: BUCKETS rows; summed without the threaded library, whose buffers would stay with the driver
+    table = spark.sparkContext.broadcast(np.einsum("ij,jk->ik", model["E"], model["W"]).astype(np.float16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T = table.value.astype(np.float32)
