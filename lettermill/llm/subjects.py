@@ -151,8 +151,24 @@ def training_rows(mailbox: DataFrame, labels: DataFrame, names: list[str]) -> Da
     return ids.join(texts, "email_id").groupBy("email_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("w").alias("w"), F.first("h").alias("h")).withColumn("shard", F.pmod("h", F.lit(SHARDS)))
 
 
+DELTAS = "rows binary, delta binary, squares binary, rest binary"
+
+
+def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The shards' changes as one: each row's mean over the shards that touched it, the outputs' mean over all. At most BUCKETS rows a shard."""
+    n, delta, squares = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, np.float32)
+    for r, d, q in zip(pdf["rows"], pdf["delta"], pdf["squares"]):
+        i = np.frombuffer(r, np.int32)
+        n[i] += 1
+        delta[i] += np.frombuffer(d, np.float16).reshape(len(i), DIM)
+        squares[i] += np.frombuffer(q, np.float32)
+    i = np.flatnonzero(n)
+    rest = np.mean([np.frombuffer(x, np.float32) for x in pdf["rest"]], axis=0)
+    return pd.DataFrame({"rows": [i.astype(np.int32).tobytes()], "delta": [(delta[i] / n[i, None]).astype(np.float16).tobytes()], "squares": [(squares[i] / n[i]).astype(np.float32).tobytes()], "rest": [rest.astype(np.float32).tobytes()]})
+
+
 def fit(rows: DataFrame, n_topics: int) -> dict[str, np.ndarray]:
-    """Rounds of one epoch a shard; after each the shards' changes are averaged. A shard holds at most a share of TRAIN_MAILS."""
+    """Rounds of one epoch a shard; after each the shards' changes are averaged by one task, and their mean alone reaches the driver. A shard holds at most a share of TRAIN_MAILS."""
     spark = rows.sparkSession
     model = start(n_topics)
     for r in range(ROUNDS):  # one() runs before r and shared change
@@ -167,17 +183,14 @@ def fit(rows: DataFrame, n_topics: int) -> dict[str, np.ndarray]:
             squares = (m["gE"][rows_] - shared.value["gE"][rows_]).astype(np.float32)
             return pd.DataFrame({"rows": [rows_.astype(np.int32).tobytes()], "delta": [delta.tobytes()], "squares": [squares.tobytes()], "rest": [rest.tobytes()]})
 
-        parts = rows.groupBy("shard").applyInPandas(one, "rows binary, delta binary, squares binary, rest binary").collect()
+        parts = rows.groupBy("shard").applyInPandas(one, DELTAS).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, DELTAS).collect()
         if not parts:
             return model
-        n = np.zeros(BUCKETS, np.float32)
-        for p in parts:
-            n[np.frombuffer(p["rows"], np.int32)] += 1
-        for p in parts:
-            i = np.frombuffer(p["rows"], np.int32)
-            model["E"][i] += np.frombuffer(p["delta"], np.float16).reshape(len(i), DIM) / n[i, None]
-            model["gE"][i] += np.frombuffer(p["squares"], np.float32) / n[i]
-        rest = np.mean([np.frombuffer(p["rest"], np.float32) for p in parts], axis=0)
+        p = parts[0]
+        i = np.frombuffer(p["rows"], np.int32)
+        model["E"][i] += np.frombuffer(p["delta"], np.float16).reshape(len(i), DIM)
+        model["gE"][i] += np.frombuffer(p["squares"], np.float32)
+        rest = np.frombuffer(p["rest"], np.float32)
         at = 0
         for k in ("W", "b", "gW", "gb"):
             model[k] += rest[at : at + model[k].size].reshape(model[k].shape)
