@@ -19,12 +19,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.llm.bpe import counted
-from lettermill.session import merged
+from lettermill.session import bounded, merged
 
 ROUNDS, TOLERANCE = 200, 1e-9
 BLOCK = 50_000  # documents, about, whose probabilities one window sums
 
 
+def noted_topics(docs: DataFrame, topics: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, topic) of the texts that hold a telling word: the topic of the vocabulary table most of whose words they hold, the first in order on ties.
+
+    Telling are the words of four letters or more in a topic's name and note that no other topic has. The vocabulary is small, and more than 20,000 words raise.
+    """
+    found = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
+    words = topics.where(F.col("topic").isNotNull() & (F.col("topic") != "other")).select("topic", F.explode(found(F.concat_ws(" ", "topic", "note"))).alias("w")).distinct()
+    words = words.groupBy("w").agg(F.min("topic").alias("topic"), F.max("topic").alias("_t")).where("topic = _t").select("w", "topic")
+    hits = docs.where(F.col(key).isNotNull()).select(key, F.explode(found(text)).alias("w")).join(F.broadcast(bounded(words, 20_000)), "w").groupBy(key, "topic").agg(F.count("*").alias("n"))
+    return hits.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "topic")).alias("b")).select(key, F.col("b.topic").alias("topic"))
+
+
 def targets(mix: DataFrame) -> DataFrame:
     """(mix_id, source, want, max_repeats): wanted tokens of each source of each mix."""
     return (

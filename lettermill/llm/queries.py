@@ -88,8 +88,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = subjects.trained(*(table(spark, sf_dir, t) for t in ("mailbox", "topic_labels", "topics")))
-    return mixing.sized(docs, subjects.best_area(docs.select("doc_id", "text"), *model))
+    return mixing.sized(docs, mixing.noted_topics(docs, table(spark, sf_dir, "topics")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,16 +256,6 @@ def _probabilities(model: dict[str, np.ndarray], names: list[str], z) -> F.Colum
     return F.reverse(F.array_sort(F.array(*p)))
 
 
-def best_area(texts: DataFrame, model: dict[str, np.ndarray], names: list[str]) -> DataFrame:
-    """The columns of ``texts`` but its last, ``text``, and ``topic``: the one best area of each text by itself, or ``other``. A null text is empty."""
-    *keep, text = texts.columns
-    scored = scores(spread(texts.select(*keep, F.lower(F.coalesce(text, F.lit(""))).alias("text"))), model)
-    if not [t for t in names if t != OTHER]:
-        return scored.select(*keep, F.lit(OTHER).alias("topic"))
-    top = _probabilities(model, names, lambda i: F.col("z")[i])[0]
-    return scored.select(*keep, F.when(top["p"] < FIRST, F.lit(OTHER)).otherwise(top["t"]).alias("topic"))
-
-
 def areas(mailbox: DataFrame, labels: DataFrame, topics: DataFrame) -> DataFrame:
     """(email_id, topic): every area of every mail."""
     mailbox = mailbox.where(F.col("email_id").isNotNull())

@@ -298,6 +298,12 @@ def test_mix_shares_and_shortfalls(spark):
     assert mixing.report(sized.limit(0), mix).where("short").count() == 4
 
 
+def test_topics_of_a_vocabulary_table(spark):
+    topics = spark.createDataFrame([("law", "cases such as an injunction or a shared deposition"), ("pets", "animals such as a hamster or a shared leash"), ("other", None), (None, "x")], "topic string, note string")
+    docs = spark.createDataFrame([(1, "The Injunction came after the hamster and the deposition."), (2, "a shared animal"), (3, None), (4, "hamster injunction"), (None, "leash")], "doc_id long, text string")
+    assert rows(mixing.noted_topics(docs, topics), "doc_id", "topic") == [(1, "law"), (4, "law")]
+
+
 # ---- 9 look-alikes
 
 
