@@ -70,12 +70,27 @@ def reshape_address(local: Column, first: Column, last: Column) -> Column:
     return F.when(local.contains("."), F.concat(f, F.lit("."), l)).when(local.contains("_"), F.concat(f, F.lit("_"), l)).otherwise(F.concat(F.substring(f, 1, 1), l))
 
 
+STREET_NAME = re.compile(r"(\d[\dA-Za-z]*\s+(?:[NSEW]\.?\s+)?)(.*?)(\s+\S+)$", re.S)
+
+
 def fake_digits(text: str, seed: int, real: frozenset[str] = frozenset()) -> str:
-    """Digits replaced by others, shape kept; drawn again while the result is ``text`` or one of ``real``."""
+    """A stand-in for a contact detail: other digits in the same shape, a phone in the 555 exchange, a street with an invented name, drawn again while it is
+    ``text`` or one of ``real``. A detail of any length gets digits enough.
+    """
+    phone = re.fullmatch(PHONE, text)
+    street = None if phone else re.fullmatch(STREET, text) and STREET_NAME.match(text)
+    size = sum(map(str.isdigit, text))
     for k in range(64):
-        h = hashlib.md5(f"{seed}:{text}{f':{k}' * (k > 0)}".encode()).hexdigest()
-        new = iter(str(int(h, 16)))
-        out = re.sub(r"\d", lambda _: next(new, "0"), text)
+        h = hashlib.shake_128(f"{seed}:{text}:{k}".encode()).digest(size + 8)
+        digits = [str(x % 10) for x in h[:size]]
+        if phone:
+            digits[-7:-4] = "555"
+        new = iter(digits)
+        out = re.sub(r"\d", lambda _: next(new), text)
+        if street:
+            at = STREET_NAME.match(out)
+            name = _cased("".join(SYLLABLES[x % len(SYLLABLES)] for x in h[-3:]).title(), street[2])
+            out = at[1] + name + at[3]
         if out != text and out not in real:
             return out
     raise ValueError("no free stand-in for a contact detail")

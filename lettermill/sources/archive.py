@@ -11,7 +11,7 @@ import tarfile
 from collections.abc import Iterator
 from datetime import timezone
 from email import message_from_bytes, policy
-from email.utils import parsedate_to_datetime
+from email.utils import getaddresses, parsedate_to_datetime
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,8 +30,9 @@ _ARROW = pa.schema(
 
 
 def _addresses(value) -> list[str]:
-    flat = re.sub(r"[\n\t]", " ", str(value or ""))
-    return [x for x in (part.strip().lower() for part in flat.split(",")) if x]
+    """The addresses of a header in small letters, by the library's reading of names, groups and quoted commas; an entry without an address counts by its text."""
+    pairs = getaddresses([" ".join(str(value or "").split())], strict=False)
+    return [x for name, addr in pairs if (x := (addr or name).strip().lower())]
 
 
 def _text(msg) -> str:
@@ -62,10 +63,10 @@ def parse_message(raw: bytes, path: str) -> dict | None:
         except (TypeError, ValueError):
             when = None
         subject = re.sub(r"\r?\n[ \t]*", " ", str(msg.get("Subject") or "")).strip()
-        refs = re.findall(r"<([^<>\s]+)>", str(msg.get("References") or ""))
+        refs = str(msg.get("References") or "").split()
         return {
-            "message_id": mid, "from_addr": (_addresses(msg.get("From")) or [""])[0], "to_addrs": _addresses(msg.get("To")), "cc_addrs": _addresses(msg.get("Cc")), "bcc_addrs": _addresses(msg.get("Bcc")),
-            "subject": subject, "normalized_subject": _PREFIXES.sub("", subject).strip().lower(), "date": when, "in_reply_to": str(msg.get("In-Reply-To") or "").strip().strip("<>") or None,
+            "message_id": mid, "from_addr": " ".join(str(msg.get("From") or "").split()).lower(), "to_addrs": _addresses(msg.get("To")), "cc_addrs": _addresses(msg.get("Cc")), "bcc_addrs": _addresses(msg.get("Bcc")),
+            "subject": subject, "normalized_subject": _PREFIXES.sub("", subject).strip().lower(), "date": when, "in_reply_to": str(msg.get("In-Reply-To") or "").strip() or None,
             "references": refs, "body": body, "word_count": len(body.split()), "file_path": path,
         }
     except Exception:  # noqa: BLE001 - a broken file must not end the scan

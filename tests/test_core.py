@@ -160,6 +160,19 @@ def test_rewrite_of_initials_logins_lone_names_and_addresses(spark):
     assert "I, " in got["e1"] and got["e1"].endswith("may go; a plan stays.")
 
 
+@pytest.mark.parametrize("text,shape", [("(713) 853-6161", r"\(\d{3}\) 555-\d{4}"), ("1-713-853-6161", r"\d-\d{3}-555-\d{4}"), ("1400 Smith Hill Street", r"\d{4} [A-Z][a-z]{8} Street"), ("123-45-6789", r"\d{3}-\d\d-\d{4}"), ("P.O. Box " + "7" * 60, r"P\.O\. Box \d{60}")])
+def test_contact_stand_ins(text, shape):
+    import re
+
+    out = pseudonyms.fake_digits(text, 5)
+    assert re.fullmatch(shape, out) and out != text and "Smith" not in out and out == pseudonyms.fake_digits(text, 5)
+    assert pseudonyms.fake_digits(text, 5, frozenset({out})) != out
+
+
+def test_addresses_of_a_header():
+    assert archive._addresses('"Lee, Ann" <Ann@x.y>, bob@x.y,\n\tUndisclosed <c@x.y>') == ["ann@x.y", "bob@x.y", "c@x.y"] and archive._addresses(None) == []
+
+
 @pytest.mark.parametrize("left", ["Farid M. Eltfiokafu", "Eltfiokafu, Farid", "f. eltfiokafu", "feltfiokafu", "713-555-0100", "x.y@tessel.example", "P.O. Box 7"])
 def test_the_scan_sees_every_form(spark, left):
     people = spark.createDataFrame([("farid", "eltfiokafu")], "first string, last string")
