@@ -62,6 +62,22 @@ def whole_threads(units: DataFrame, quotas: DataFrame, seed: int = 9) -> DataFra
     return u.select("topic", "thread_id", "sender", "n", "h", "quota").groupBy("topic").applyInPandas(fill_threads, "topic string, thread_id string")
 
 
+def reserve(quotas: DataFrame, planted: DataFrame) -> DataFrame:
+    """(topic, quota, planted, remaining, too_many): quotas (topic, quota) less what is planted (topic, planted) already; a topic without a plant keeps its quota."""
+    n = F.coalesce("planted", F.lit(0)).cast("long")
+    out = quotas.join(planted, "topic", "left").select("topic", "quota", n.alias("planted"))
+    return out.withColumn("remaining", F.col("quota") - F.col("planted")).withColumn("too_many", F.col("remaining") < 0)
+
+
+def reserved(quotas: DataFrame, planted: DataFrame) -> DataFrame:
+    """:func:`reserve`, raising where a topic has more planted than places."""
+    out = reserve(quotas, planted)
+    bad = [r["topic"] for r in out.where("too_many").orderBy("topic").limit(3).collect()]
+    if bad:
+        raise ValueError(f"more planted than places: {bad}")
+    return out
+
+
 def jittered(quotas: dict[str, int], jitter: int, seed: int, pools: dict[str, int]) -> dict[str, int]:
     """Each quota moved by up to ``jitter`` either way inside its pool; the total stays. A fixed vocabulary of topics, driver-side."""
     import hashlib

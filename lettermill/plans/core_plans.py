@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.functions import text as X
-from lettermill.operators import graph, search, session
+from lettermill.operators import fill, graph, search, session
 from lettermill.plans.text_plans import mails
 from lettermill.plans.text_sql import MAILS, q, tokens
-from lettermill.session import bounded, table
+from lettermill.session import bounded, merged, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,12 +105,12 @@ _LOGIN = r"SELECT DISTINCT regexp_extract(\"from\", '^([a-z]+)@', 1) AS login".r
 @query(rf"""WITH l AS ({_LOGIN} FROM mailbox WHERE regexp_matches("from", '^[a-z]+@') ), p AS (SELECT DISTINCT regexp_extract("from", '^([a-z]+)\.([a-z]+)@', 1) AS f, regexp_extract("from", '^([a-z]+)\.([a-z]+)@', 2) AS s FROM mailbox WHERE regexp_matches("from", '^[a-z]+\.[a-z]+@'))
 SELECT login, arg_min(f || ' ' || s, (length(s), s, f)) AS person FROM l JOIN p ON login[1:1] = f[1:1] AND starts_with(s, login[2:]) GROUP BY 1""")
 def prefix_login(spark, sf_dir):
-    """Login of an initial and a surname prefix to a person, the shortest surname first; blocked on the initial and the second letter."""
+    """Login of an initial and a surname prefix to a person, the shortest surname first: an equi-join on all the forms a person's login can take."""
     m = table(spark, sf_dir, "mailbox").select("from").distinct()
-    logins = m.where(F.col("from").rlike("^[a-z]+@")).select(F.regexp_extract("from", "^([a-z]+)@", 1).alias("login")).distinct().withColumn("i", F.substring("login", 1, 2))
+    logins = m.where(F.col("from").rlike("^[a-z]+@")).select(F.regexp_extract("from", "^([a-z]+)@", 1).alias("login")).distinct()
     people = m.where(F.col("from").rlike(r"^[a-z]+\.[a-z]+@")).select(F.regexp_extract("from", r"^([a-z]+)\.([a-z]+)@", 1).alias("f"), F.regexp_extract("from", r"^([a-z]+)\.([a-z]+)@", 2).alias("s")).distinct()
-    people = people.withColumn("i", F.concat(F.substring("f", 1, 1), F.substring("s", 1, 1)))
-    hits = logins.join(people, "i").where(F.expr("startswith(s, substring(login, 2))"))
+    forms = F.transform(F.sequence(F.lit(0), F.length("s")), lambda k: F.concat(F.substring("f", 1, 1), F.substring(F.col("s"), F.lit(1), k)))
+    hits = merged(people.select("f", "s", F.explode(forms).alias("login"))).join(logins, "login")
     return hits.groupBy("login").agg(F.min(F.struct(F.length("s"), "s", "f")).alias("b")).select("login", F.concat_ws(" ", "b.f", "b.s").alias("person"))
 
 
@@ -136,14 +136,14 @@ def unique_token_join(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: avg_list[i]) AS v FROM (SELECT label, list(m ORDER BY i) AS avg_list FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1)),
-s AS (SELECT e.vec_id, c.label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * c.v[i])), 5) AS dot FROM embeddings e, c) SELECT vec_id, CAST(arg_max(label, (dot, -label)) AS INTEGER) AS nearest, max(dot) AS dot FROM s GROUP BY 1""")
+s AS (SELECT e.vec_id, c.label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * c.v[i])), 5) AS dot FROM embeddings e, c) SELECT vec_id, CASE WHEN max(dot) < 0.05 THEN 'other' ELSE CAST(arg_max(label, (dot, -label)) AS VARCHAR) END AS nearest, max(dot) AS dot FROM s GROUP BY 1""")
 def nearest_topic(spark, sf_dir):
-    """Nearest label centroid of each vector by dot product; the centroids are one row a label."""
+    """Nearest label centroid of each vector by dot product, ``other`` where none reaches the floor; the centroids are one row a label."""
     e = table(spark, sf_dir, "embeddings")
     c = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("v"))
     dot = F.round(F.aggregate(F.zip_with("embedding", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x), 5)
     s = e.select("vec_id", "embedding").crossJoin(F.broadcast(bounded(c, 2_000))).select("vec_id", "label", dot.alias("dot"))
-    return s.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("label")).alias("l"))).alias("b")).select("vec_id", (-F.col("b.l")).alias("nearest"), F.col("b.dot").alias("dot"))
+    return s.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("label")).alias("l"))).alias("b")).select("vec_id", F.when(F.col("b.dot") < 0.05, "other").otherwise((-F.col("b.l")).cast("string")).alias("nearest"), F.col("b.dot").alias("dot"))
 
 
 @query(f"{M} SELECT email_id, count(*) OVER (PARTITION BY thread_id) - 1 AS others FROM mails WHERE thread_id IS NOT NULL")
@@ -184,12 +184,11 @@ def quota_alloc(spark, sf_dir):
     return r.select("topic", "pool", (F.floor(F.lit(500) / F.col("k")) + (F.col("r") <= F.lit(500) % F.col("k")).cast("long")).alias("quota"))
 
 
-@query(f"{_QUOTA}, a AS (SELECT topic, count(*) AS planted FROM answer_key GROUP BY 1) SELECT topic, 500 // k AS quota, coalesce(planted, 0) AS planted, 500 // k - coalesce(planted, 0) AS remaining FROM r LEFT JOIN a USING (topic)")
+@query(f"{_QUOTA}, a AS (SELECT topic, count(*) AS planted FROM answer_key GROUP BY 1), q AS (SELECT topic, 500 // k + CASE WHEN r <= 500 % k THEN 1 ELSE 0 END AS quota FROM r) SELECT topic, quota, coalesce(planted, 0) AS planted, quota - coalesce(planted, 0) AS remaining, quota < coalesce(planted, 0) AS too_many FROM q LEFT JOIN a USING (topic)")
 def reserve_subtract(spark, sf_dir):
-    p = quota_alloc(spark, sf_dir)
-    k = p.agg(F.floor(F.lit(500) / F.count("*")).alias("quota"))
+    """Places of each topic once the planted mails are taken out; ``too_many`` marks topics with more of them than places, on which :func:`fill.reserved` raises."""
     a = table(spark, sf_dir, "answer_key").groupBy("topic").agg(F.count("*").alias("planted"))
-    return p.select("topic").crossJoin(k).join(a, "topic", "left").select("topic", "quota", F.coalesce("planted", F.lit(0)).alias("planted"), (F.col("quota") - F.coalesce("planted", F.lit(0))).alias("remaining"))
+    return fill.reserve(quota_alloc(spark, sf_dir).select("topic", "quota"), a)
 
 
 @query(f"""{M}, s AS (SELECT "from", count(*) AS n FROM mails GROUP BY 1), d AS (SELECT "date"[1:7] AS m, count(*) AS n FROM mails GROUP BY 1)

@@ -82,6 +82,13 @@ def test_fill_equals_the_uncut_run_with_a_heavy_sender(spark):
         assert got == sorted((t,) for t in fill.fill_threads(pdf).thread_id)
 
 
+def test_reserved_places(spark):
+    q, p = spark.createDataFrame([("a", 3), ("b", 2)], "topic string, quota long"), spark.createDataFrame([("a", 2), ("b", 5)], "topic string, planted long")
+    assert rows(fill.reserve(q, p), "topic", "remaining", "too_many") == [("a", 1, False), ("b", -3, True)] and fill.reserved(q, p.limit(0)).count() == 2
+    with pytest.raises(ValueError):
+        fill.reserved(q, p)
+
+
 def test_jitter_without_room_raises():
     with pytest.raises(ValueError):
         fill.jittered({"a": 10, "b": 10}, 2, 5, {"a": 10, "b": 3})
