@@ -121,7 +121,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if c not in "cdxFfrk":
                             continue
                         t = i
-                    if c == "b":
+                    if c in "bcg":  # greetings and closings are own text, however often they stand
                         continue
                     w = WORD.findall(lines[i].lower()) or [lines[i].strip()[:8]]
                     l_flat.extend(map(get, w))
