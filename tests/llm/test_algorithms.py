@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lettermill.llm import classes, metric_join, name_link, quota_sample, tensor_banding
@@ -106,6 +107,37 @@ def test_blocks_of_a_class_give_every_pair(spark, monkeypatch):
     want = sorted((f"e{a:02}", f"e{b:02}") for a in range(30) for b in range(a + 1, 30) if a // 2 != b // 2)
     assert rows(tensor_banding.alike(df, "email_id", "thread_id"), "id_a", "id_b") == want
 
+def test_a_notice_of_all_mails_brings_no_pairs_and_a_form_keeps_them(spark):
+    """Candidates follow the alike pairs, not the square of the mails with one notice; letters alike by a frequent form are all found."""
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    notice, form = own(40), own(60)
+    mails = [(f"m{i:04}", f"t{i}", "s", " ".join(own(90) + notice)) for i in range(1500)]
+    mails += [(f"z{i:04}", f"u{i}", "s", " ".join(b.split()[:70] + own(20) + notice)) for i, (_, _, _, b) in enumerate(mails[:50])]
+    mails += [(f"f{i:04}", f"v{i}", "s", " ".join(form + own(15))) for i in range(60)]
+    df = spark.createDataFrame(mails, "email_id string, thread_id string, subject string, body string")
+    want = {(f"m{i:04}", f"z{i:04}") for i in range(50)} | {(f"f{a:04}", f"f{b:04}") for a in range(60) for b in range(a + 1, 60)}
+    got = set(rows(tensor_banding.alike(df, "email_id", "thread_id"), "id_a", "id_b"))
+    assert got <= want and len(got) >= 0.97 * len(want)
+    _, cls = tensor_banding._classes(df.select(F.col("email_id").alias("id"), F.col("thread_id").alias("grp"), F.col("body").alias("text")))
+    assert tensor_banding.met(cls, 0.5).count() < len(want) + 200
+
+
+def test_left_out_shingles_leave_the_chance_to_meet():
+    """The most frequent go first, a third of a text at most, and the right parts make up for them."""
+    text = np.arange(1, 91, dtype=np.uint64)
+    s, off = np.concatenate([text, text[:30]]), np.array([0, 90, 120])
+    frequent = np.array([70, 5, 3, *range(20, 60)], np.uint64)  # the most frequent last
+    rank = np.argsort(frequent)
+    kept, at = tensor_banding._spared(s, off, frequent[rank], rank)
+    assert at.tolist() == [0, 60, 80] and {3, 5, 70, *range(20, 30)} <= set(kept[:60].tolist()) and not set(range(30, 60)) & set(kept[:60].tolist())
+    assert kept[60:].tolist() == [*range(1, 21)]
+    for x in np.linspace(0, tensor_banding.SPARED, 20):
+        alike, n = (1 - 1.5 * x) / (2 - 1.5 * x), tensor_banding._rights(np.array([x]))[0]
+        assert n <= tensor_banding.RIGHT and (1 - (1 - alike) ** tensor_banding.LEFT) * (1 - (1 - alike**2) ** n) >= 0.96
+    p = 0.5 * (1 - 0.5**tensor_banding.FINE)
+    assert sum(math.comb(192, k) * p**k * (1 - p) ** (192 - k) for k in range(tensor_banding.NEAR_FINE + 1, 193)) < 0.002
+
 
 # ---- names
 
