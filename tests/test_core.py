@@ -1,6 +1,7 @@
 """Decision logic on small tables with known answers, and the invariants of the draws."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -71,6 +72,33 @@ def test_bm25_orders_by_score_then_key(spark):
     assert [r.doc for r in got] == ["d1", "d2"] and got[0].score > got[1].score > 0
 
 
+def test_bm25_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Against every query by every document: ties, documents hidden from queries with an id or left out of one, a word all queries share."""
+    for name, value in {"POSTINGS": 900, "QUERIES": 13, "LEAST": 300}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(3)
+    words = ["shared", *(f"w{i}" for i in range(40))]
+    docs = [(f"d{i:03}", " ".join(rng.choices(words, [60, *(40 // (j + 1) + 1 for j in range(40))], k=rng.choice([3, 4, 9, 0])))) for i in range(400)]
+    asked = [(f"q{i}", " ".join(["shared", *rng.choices(words, k=rng.randrange(4))])) for i in range(30)] + [(None, "shared w3 unheard")]
+    hidden, away = {k for k, _ in docs if rng.random() < 0.3}, {(q, f"d{rng.randrange(400):03}") for q, _ in asked for _ in range(8)}
+    got = search.bm25(
+        spark.createDataFrame(docs, "k string, t string"), "k", "t", spark.createDataFrame(asked, "qid string, query string"), 6,
+        without=spark.createDataFrame(sorted(away, key=str), "qid string, doc string"), hidden=spark.createDataFrame([(x,) for x in sorted(hidden)], "doc string"),
+    )
+    mean = sum(len(t.split()) for _, t in docs) / len(docs)
+    df = {w: sum(w in t.split() for _, t in docs) for w in words}
+
+    def score(query, text):
+        t = text.split()
+        return round(sum(math.log(1 + (400 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in set(query.split()) if w in t), 6)
+
+    want = []
+    for q, query in asked:
+        best = sorted((-score(query, t), k) for k, t in docs if q is None or k not in hidden and (q, k) not in away)
+        want += [(q, k, i + 1) for i, (x, k) in enumerate(best[:6]) if x < 0]
+    assert sorted(((r.qid, r.doc, r["rank"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_fill_equals_the_uncut_run_with_a_heavy_sender(spark):
     rng = random.Random(5)
     data = [("law", f"t{i:05}", "hot" if i % 3 else f"s{rng.randrange(400)}", rng.choice([1, 1, 2, 3, 5, 9, 40])) for i in range(4000)]
