@@ -16,7 +16,7 @@ from lettermill.session import cut, merged
 
 K1, B = 1.5, 0.75
 #: Postings and queries of a block, which one task holds in memory; fewer postings where that keeps more cores busy, never under LEAST.
-POSTINGS, QUERIES, LEAST = 3_000_000, 200_000, 250_000
+POSTINGS, QUERIES, LEAST = 2_000_000, 200_000, 250_000
 NEAR = 2e-6  # scores further apart than this differ after rounding to six places
 
 

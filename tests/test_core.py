@@ -99,6 +99,22 @@ def test_bm25_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert sorted(((r.qid, r.doc, r["rank"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_bm25_moves_no_pair_of_query_and_document(spark):
+    """A word that 300 queries and 300 documents share makes 90,000 pairs; no step of the plan gives more rows than it reads and answers."""
+    d = spark.createDataFrame([(f"d{i:03}", f"shared w{i % 100}") for i in range(300)], "k string, t string")
+    got = search.bm25(d, "k", "t", spark.createDataFrame([(f"q{i}", f"shared w{i % 100} x{i}") for i in range(300)], "qid string, query string"), 4)
+    assert got.count() == 1200
+    got.collect()  # runs this frame's own plan
+
+    def most(node):
+        node = {"AdaptiveSparkPlanExec": lambda: node.finalPhysicalPlan(), "ShuffleQueryStageExec": lambda: node.plan()}.get(node.getClass().getSimpleName(), lambda: node)()
+        rows = node.metrics().get("numOutputRows")
+        below = [most(node.children().apply(i)) for i in range(node.children().size())]
+        return max([rows.get().value() if rows.isDefined() else 0, *below])
+
+    assert 0 < most(got._jdf.queryExecution().executedPlan()) < 10_000
+
+
 def test_fill_equals_the_uncut_run_with_a_heavy_sender(spark):
     rng = random.Random(5)
     data = [("law", f"t{i:05}", "hot" if i % 3 else f"s{rng.randrange(400)}", rng.choice([1, 1, 2, 3, 5, 9, 40])) for i in range(4000)]
