@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
 from lettermill.operators import engines, fill, graph, layout, pseudonyms, search, session, verify
+from lettermill.plans import run_plans
 from lettermill.sources import archive, files
 
 MAIL = "email_id string, thread_id string, topic string, subject string, body string, `from` string"
@@ -99,20 +100,34 @@ def test_bm25_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert sorted(((r.qid, r.doc, r["rank"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def most_rows(node):
+    """The most rows any step of a plan that has run gave."""
+    node = {"AdaptiveSparkPlanExec": lambda: node.finalPhysicalPlan(), "ShuffleQueryStageExec": lambda: node.plan()}.get(node.getClass().getSimpleName(), lambda: node)()
+    rows = node.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *(most_rows(node.children().apply(i)) for i in range(node.children().size()))])
+
+
 def test_bm25_moves_no_pair_of_query_and_document(spark):
     """A word that 300 queries and 300 documents share makes 90,000 pairs; no step of the plan gives more rows than it reads and answers."""
     d = spark.createDataFrame([(f"d{i:03}", f"shared w{i % 100}") for i in range(300)], "k string, t string")
     got = search.bm25(d, "k", "t", spark.createDataFrame([(f"q{i}", f"shared w{i % 100} x{i}") for i in range(300)], "qid string, query string"), 4)
     assert got.count() == 1200
     got.collect()  # runs this frame's own plan
-
-    def most(node):
-        node = {"AdaptiveSparkPlanExec": lambda: node.finalPhysicalPlan(), "ShuffleQueryStageExec": lambda: node.plan()}.get(node.getClass().getSimpleName(), lambda: node)()
-        rows = node.metrics().get("numOutputRows")
-        below = [most(node.children().apply(i)) for i in range(node.children().size())]
-        return max([rows.get().value() if rows.isDefined() else 0, *below])
-
-    assert 0 < most(got._jdf.queryExecution().executedPlan()) < 10_000
+    assert 0 < most_rows(got._jdf.queryExecution().executedPlan()) < 10_000
+
+
+def test_search_shown_moves_pools_not_pairs(spark, tmp_path):
+    """600 searches and 600 mails share a word: 360,000 pairs, but pools of forty mails; eight are shown, those with the asked words in the subject first."""
+    m = spark.range(600).select(*[F.format_string(f, F.col("id")).alias(c) for c, f in {"email_id": "e_%03d", "thread_id": "t_%03d", "topic": "law", "from": "a@b.c", "date": "2001-01-01", "body": "shared word"}.items()])
+    m = m.withColumns({"thread_pos": F.lit(0), "thread_len": F.lit(1), "subject": F.concat(F.lit("s"), F.col("email_id").substr(3, 3))})
+    m.write.parquet(str(tmp_path / "mailbox.parquet"))
+    spark.range(600).select(F.lit("search").alias("tool"), F.format_string("shared s%03d", F.col("id")).alias("arg")).write.parquet(str(tmp_path / "tool_log.parquet"))
+    got = run_plans.search_shown(spark, str(tmp_path))
+    shown = got.collect()
+    assert len(shown) == 4800
+    assert all((r.hits, r["rank"]) == ((1, 1) if r.shown == 1 else (0, r.shown)) for r in shown)
+    assert all(r.doc == "e_" + r.qid[-3:] for r in shown if r.shown == 1)
+    assert 0 < most_rows(got._jdf.queryExecution().executedPlan()) < 100_000
 
 
 def test_fill_equals_the_uncut_run_with_a_heavy_sender(spark):
